@@ -12,50 +12,53 @@ from pyspark.sql import functions as F
 from ._text import NON_ALNUM, Words, cut, mix, slices
 from .sketch import frequencies
 
-#: Words of 64 bits in a fingerprint, buckets of the document frequencies, bits of a shard's key.
-LANES, BUCKETS, KEY_BITS = 4, 1 << 20, 16
+#: Words of 64 bits in a fingerprint, bits of a bucket of the document frequencies, bits of a shard's key.
+LANES, BUCKET_BITS, KEY_BITS = 4, 18, 16
 #: Fingerprints that a task holds at once, when a key has no more, and pairs that it compares at once.
 TASK_ROWS, PAIRS = 1 << 17, 1 << 20
 
 
 def _distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and text of each distinct word of each text."""
-    order = np.lexsort((words.hash, words.doc))
-    h, d = words.hash[order], words.doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], d[new]
+    """44 bits of the hash, and the text, of each distinct word of each text."""
+    key = np.sort(words.doc.astype(np.uint64) << np.uint64(44) | words.hash >> np.uint64(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.int64)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44 - BUCKET_BITS)).astype(np.int64)
 
 
 def _present(texts: pa.Array, sums: np.ndarray) -> int:
     n = 0
     for _, _, data, off in slices(texts):
         h, d = _distinct(Words(data, off, NON_ALNUM))
-        sums += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        sums += np.bincount(_bucket(h), minlength=len(sums))
         n += len(np.unique(d))
     return n
 
 
-def fingerprints(h: np.ndarray, d: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
+def fingerprints(h: np.ndarray, d: np.ndarray, rows: int, idf: np.ndarray, block: int = 1024) -> np.ndarray:
     """The SimHash of each of rows texts from its distinct words: the signs of the weighted sums of the words' bits."""
-    out = np.zeros((rows, LANES), np.uint64)
-    starts = np.searchsorted(d, np.arange(rows + 1))
-    at = 0
-    while at < rows:
-        end = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 14), "right")) - 1)
-        end = min(end, rows)
-        x, own = h[starts[at] : starts[end]], d[starts[at] : starts[end]] - at
+    sums = np.zeros((rows, 64 * LANES), np.float32)
+    for lo in range(0, len(h), block):
+        x, own, weight = h[lo : lo + block], d[lo : lo + block], idf[_bucket(h[lo : lo + block])]
         bits = np.empty((len(x), LANES), np.uint64)
         for lane in range(LANES):
             bits[:, lane] = mix(x + np.uint64(0x632BE59BD9B4E019 * (lane + 1) & (1 << 64) - 1))
-        sign = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
-        sign = (sign * 2 - 1) * idf[(x >> np.uint64(44)).astype(np.int64)][:, None]
-        has, first = np.unique(own, return_index=True)
-        if len(has):
-            sums = np.add.reduceat(sign, first, axis=0)
-            out[at + has] = np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)
-        at = end
-    return out
+        one = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+        first = int(own[0])
+        n = int(own[-1]) - first + 1
+        if n <= 32:
+            of = np.zeros((n, len(x)), np.float32)
+            of[own - first, np.arange(len(x))] = weight
+            sums[first : first + n] += 2 * (of @ one) - of.sum(axis=1)[:, None]
+        else:
+            has, at = np.unique(own, return_index=True)
+            sums[has] += np.add.reduceat((2 * one - 1) * weight[:, None], at, axis=0)
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).reshape(rows, LANES)
 
 
 class Forest:
@@ -183,7 +186,7 @@ def near_duplicates(docs: DataFrame, radius: int = 28, id_col: str = "doc_id", t
     """(id, kept_id) of each document to drop, and the one of its group that stays: the least id.
 
     A document's fingerprint has 256 bits, the signs of the sums of its distinct words' hash bits, weighted by inverse
-    document frequency over the whole table (counted in 2^20 buckets). Groups are the connected components of pairs of
+    document frequency over the whole table (counted in 2^18 buckets). Groups are the connected components of pairs of
     fingerprints no further apart than radius. Each fingerprint is put into 16 shards, one for each 16 bits of it, and is
     looked up in the BK-tree of each. Pairs up to 15 apart share a shard always, so their recall is 1; at the default
     radius it is 0.93 still. A shard's tree is built where the shard's queries are brought together, by one shuffle of
@@ -196,7 +199,7 @@ def near_duplicates(docs: DataFrame, radius: int = 28, id_col: str = "doc_id", t
     src = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("t")).where("id is not null and t is not null")
     kind = src.schema["id"].dataType.simpleString()
     spark = docs.sparkSession
-    n, df = frequencies(src.select("t"), BUCKETS, _present)
+    n, df = frequencies(src.select("t"), 1 << BUCKET_BITS, _present)
     weights = spark.sparkContext.broadcast((np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

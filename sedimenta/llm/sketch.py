@@ -24,8 +24,8 @@ def frequencies(texts: DataFrame, buckets: int, present: Callable[[pa.Array, np.
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], n))], ["bucket", "n"])
 
-    rows = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
     out = np.zeros(buckets, np.int64)
-    own = rows[rows.bucket >= 0]
-    out[own.bucket.to_numpy()] = own.n.to_numpy()
-    return int(rows.n[rows.bucket < 0].sum()), out
+    out[bucket[bucket >= 0]] = n[bucket >= 0]
+    return int(n[bucket < 0].sum()), out
