@@ -17,7 +17,7 @@ BITS = 14
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 #: Cells of a block of documents by buckets that is handled at once.
-BLOCK = 128
+BLOCK = 32
 
 
 def counts(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -66,17 +66,36 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 4, batch: int = 16, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 7) -> np.ndarray:
+class Rows:
+    """Rows of features, of which only what isn't 0 is held."""
+
+    def __init__(self, blocks: Iterator[np.ndarray]):
+        self.at: list[np.ndarray] = []
+        self.value: list[np.ndarray] = []
+        for block in blocks:
+            for row in block:
+                self.at.append(np.flatnonzero(row).astype(np.int32))
+                self.value.append(row[self.at[-1]].astype(np.float32))
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, r in enumerate(rows.tolist()):
+            out[k, self.at[r]] = self.value[r]
+        return out
+
+
+def ftrl(x: Rows, y: np.ndarray, rows: np.ndarray, classes: int, epochs: int = 4, batch: int = 16, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 7) -> np.ndarray:
     """Weights by follow-the-regularised-leader with adaptive rates for each weight and the elastic net l1, l2."""
-    z, n, w = (np.zeros((x.shape[1], classes), np.float32) for _ in range(3))
+    z, n, w = (np.zeros((BUCKETS, classes), np.float32) for _ in range(3))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
+        order = rng.permutation(rows)
         for lo in range(0, len(order), batch):
             at = order[lo : lo + batch]
-            p = softmax(x[at] @ w)
+            some = x[at]
+            p = softmax(some @ w)
             p[np.arange(len(at)), y[at]] -= 1
-            g = x[at].T @ p.astype(np.float32)
+            g = some.T @ p.astype(np.float32)
             square = g * g
             z += g - (np.sqrt(n + square) - np.sqrt(n)) / alpha * w
             n += square
@@ -110,11 +129,6 @@ class Model:
         return softmax(features(tf, self.idf) @ self.weights / self.temperature)
 
 
-def _matrix(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    blocks = [features(tf, idf) for _, _, data, off in slices(pa.array(texts, pa.large_string())) for _, _, tf in counts(data, off)]
-    return np.concatenate(blocks).astype(np.float32) if blocks else np.zeros((0, BUCKETS), np.float32)
-
-
 def train(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """A model of the labels in docs. Document frequencies are counted over every document; the weights are fitted on about
     train_rows labelled rows, drawn by a hash of the id and the text, of which a fifth is kept back for the temperature."""
@@ -122,18 +136,19 @@ def train(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_
     n, df = frequencies(src.select("t"), BUCKETS, _present)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     share = min(1.0, train_rows / max(1, n))
-    drawn = src.where(F.col("y").isNotNull() & (F.length("t") > 0) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))).toPandas()
-    drawn = drawn.sort_values(["h", "y"], kind="stable")
-    labels = sorted(drawn.y.unique().tolist())
+    drawn = src.where(F.col("y").isNotNull() & (F.length("t") > 0) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))).toArrow()
+    drawn = drawn.sort_by([("h", "ascending"), ("y", "ascending")])
+    of = drawn.column("y").to_pylist()
+    labels = sorted(set(of))
     if not labels:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), 1.0, float("nan"))
-    y = np.array([labels.index(v) for v in drawn.y], np.int64)
-    x = _matrix(drawn.t.tolist(), idf)
-    back = np.arange(len(y)) % 5 == 4
-    w = ftrl(x[~back], y[~back], len(labels))
-    if not back.any():
+    y = np.array([labels.index(v) for v in of], np.int64)
+    x = Rows(features(tf, idf) for _, _, data, off in slices(drawn.column("t")) for _, _, tf in counts(data, off))
+    back = np.flatnonzero(np.arange(len(y)) % 5 == 4)
+    w = ftrl(x, y, np.flatnonzero(np.arange(len(y)) % 5 != 4), len(labels))
+    if not len(back):
         return Model(labels, idf, w, 1.0, float("nan"))
-    logits = x[back] @ w
+    logits = np.concatenate([x[back[k : k + BLOCK]] @ w for k in range(0, len(back), BLOCK)])
     return Model(labels, idf, w, temperature(logits, y[back]), float((logits.argmax(axis=1) == y[back]).mean()))
 
 
