@@ -14,7 +14,9 @@ from sedimenta.llm._text import checkpoint_dir
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language can't be told: those without text, or of a calibrated probability under 0.5."""
     model = language_id.train(docs)
-    return language_id.identify(docs, model, carry=[c for c in docs.columns if c != "doc_id"]).where("keep").select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "doc_id"]).alias("row"))
+    kept = language_id.identify(rows, model, carry=["row"]).where("keep")
+    return kept.select(*["doc_id" if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,11 +85,12 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, id_col: str
     same = Window.partitionBy("k1", "k2", "bytes")
     losers = texts.withColumn("lo", F.min(place).over(same)).where(place != F.col("lo"))
     gone = on(losers.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("gone")), "gone")
-    full = base.withColumns({"_id": key[0], "_th": key[1]}).join(gone, F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["s"]) & (i < g["e"]))), "\n")
+    full = base.select(F.struct(*base.columns).alias("_row"), *key).join(gone, F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")), "left")
+    own = F.col("_row")[text_col]
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["s"]) & (i < g["e"]))), "\n")
     removed = F.aggregate("gone", F.lit(0), lambda acc, g: acc + g["e"] - g["s"])
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
-    return full.select(*[text.alias(c) if c == text_col else F.col(c) for c in base.columns], F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"))
+    text = F.when(F.col("gone").isNull(), own).otherwise(kept)
+    return full.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in base.columns], F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
