@@ -2,7 +2,9 @@
 
 import random
 
-from sedimenta.llm import quality
+from test_brute_force import brute_groups
+
+from sedimenta.llm import quality, simhash
 
 
 def _prose(rng, n):
@@ -28,3 +30,13 @@ def test_quality_threshold_covers_all_and_drops_toxic(spark):
     unseen = [rows[i]["keep"] for i in range(600, 1200) if toxic[i]]
     fine = [rows[i]["keep"] for i in range(600, 1200) if not toxic[i]]
     assert sum(unseen) <= 0.1 * len(unseen) and sum(fine) >= 0.95 * len(fine)
+
+
+def test_simhash_finds_copies_beyond_28_bits(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_groups(texts, 45)
+    beyond = set(want) - set(brute_groups(texts, 28))
+    got = dict(map(tuple, simhash.op3_simhash(spark, folder).collect()))
+    assert set(got) <= set(want) and len(beyond) >= 10
+    assert len(beyond & set(got)) >= 0.9 * len(beyond)
