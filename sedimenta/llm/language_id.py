@@ -131,12 +131,14 @@ class Model:
 
 def train(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """A model of the labels in docs. Document frequencies are counted over every document; the weights are fitted on about
-    train_rows labelled rows, drawn by a hash of the id and the text, of which a fifth is kept back for the temperature."""
+    train_rows of the rows that have a label and text, however many have none, drawn by a hash of the id and the text; a fifth
+    of them is kept back for the temperature."""
     src = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.lower(text_col).alias("t"), F.col(label_col).alias("y"))
     n, df = frequencies(src.select("t"), BUCKETS, _present)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    share = min(1.0, train_rows / max(1, n))
-    drawn = src.where(F.col("y").isNotNull() & (F.length("t") > 0) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30)))).toArrow()
+    labelled = src.where(F.col("y").isNotNull() & (F.length("t") > 0))
+    share = min(1.0, train_rows / max(1, labelled.count()))
+    drawn = labelled.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30))).toArrow()
     drawn = drawn.sort_by([("h", "ascending"), ("y", "ascending")])
     of = drawn.column("y").to_pylist()
     labels = sorted(set(of))

@@ -4,7 +4,7 @@ import random
 
 from test_brute_force import brute_groups
 
-from sedimenta.llm import quality, simhash
+from sedimenta.llm import language_id, quality, simhash
 
 
 def _prose(rng, n):
@@ -40,3 +40,12 @@ def test_simhash_finds_copies_beyond_28_bits(spark):
     got = dict(map(tuple, simhash.op3_simhash(spark, folder).collect()))
     assert set(got) <= set(want) and len(beyond) >= 10
     assert len(beyond & set(got)) >= 0.9 * len(beyond)
+
+
+def test_language_draw_counts_labelled_rows_alone(spark):
+    rows = [(i, f"the cat and dog {i}" if i % 2 else f"der hund und katze {i}", ("en" if i % 2 else "de") if i < 60 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs, train_rows=60)
+    assert model.labels == ["de", "en"] and model.heldout_accuracy >= 0.9
+    out = language_id.identify(docs, model)
+    assert out.where("keep").count() >= 0.95 * len(rows)
