@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import NON_ALNUM, Words, mix, slices
+from ._text import NON_ALNUM, Words, cut, mix, slices
 
-ENTITY = re.compile(
-    r"(?P<EMAIL>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
+_MAIL = r"(?P<EMAIL>[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
+_OTHERS = (
     r"|(?P<SECRET>(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d)\b\s*[=:]\s*)[\"']?[^\s\"']{6,}[\"']?|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:gh[pousr]_|sk-|xox[bp]-)[\w-]{16,}|\b[0-9a-fA-F]{32,64}\b)"
     r"|(?P<IP>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
     r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -21,8 +21,29 @@ ENTITY = re.compile(
     r"|(?P<PHONE>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|(?<!\d)\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d))"
     r"|(?P<CARD>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
 )
-#: What any entity has; texts without it are passed by.
-HINT = "[@0-9=:]"
+ENTITY = re.compile(_MAIL + _OTHERS)
+#: As ENTITY, for where no match has just ended: an address begins with its first character there, which spares looking
+#: for it behind each character of a long word.
+_BEYOND = re.compile(_MAIL.replace("[", r"(?<![\w.%+-])[", 1) + _OTHERS)
+
+
+#: How secrets are named and keys begin, in lower case.
+_SIGNS = ("key", "secret", "token", "passw", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xoxb-", "xoxp-", "\u017f")
+
+
+def hinted(text: Column) -> Column:
+    """Whether text has what one of ENTITY's alternatives needs; texts without it are passed by.
+
+    An address has @; a network address and the numbers have a digit, of whatever script (some are newer than Java's tables);
+    a secret is named, begins as keys do (a long s folds to s), or has digits or 32 hexadecimal letters.
+    """
+    low = F.lower(text)
+    found = text.rlike(r"[@\p{Nd}\x{16ac0}-\x{16ac9}\x{11f50}-\x{11f59}\x{1e4f0}-\x{1e4f9}]")
+    for sign in _SIGNS:
+        found = found | low.contains(sign)
+    return F.coalesce(found | text.rlike("[a-fA-F]{32}"), F.lit(False))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -37,18 +58,25 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.nda
 def entities(text: str) -> list[tuple[int, int, str, int]]:
     """(start byte, end byte, kind, hash) of each protected entity."""
     out = []
-    ascii_only = text.isascii()
-    for m in ENTITY.finditer(text):
+    ascii_only, at, counted, size = text.isascii(), 0, 0, 0
+    while m := ENTITY.match(text, at) or _BEYOND.search(text, at):
         a, b = m.span()
+        at = b
         if not ascii_only:
-            a = len(text[:a].encode())
-            b = a + len(m.group().encode())
+            size += len(text[counted:a].encode())
+            counted, a, b = a, size, size + len(m.group().encode())
         own = np.frombuffer(re.sub(r"[\s()\"'.-]", "", m.group().lower()).encode() or b"-", np.uint8)
         h = int(mix(Words(own, np.array([0, len(own)]), np.zeros(256, bool)).hash)[0].astype(np.int64))
         out.append((a, b, m.lastgroup, h))
     return out
 
 
+def general(term: bytes) -> bytes:
+    """What stands for a term that is generalised: its kind, by its form."""
+    digits = sum(48 <= c <= 57 for c in term)
+    return b"<NUMBER>" if digits == len(term) else b"<CODE>" if digits else b"<NAME>" if term[:1].isupper() else b"<TERM>"
+
+
 def _marked(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, list, Words, np.ndarray, np.ndarray]]:
     """(text, entities, words, term hashes, line of each word within the text) of each text that has entities."""
     for i in range(len(off) - 1):
@@ -75,14 +103,16 @@ def _term_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, data, off in slices(b.column(0)):
             w, term, line = _words(data, off)
-            key = np.sort(line.astype(np.uint64) << np.uint64(44) | term)
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            h, n = np.unique(key[new] & np.uint64((1 << 44) - 1), return_counts=True)
-            hs.append(h)
-            ns.append(n)
+            for part in np.split(np.arange(len(line)), np.searchsorted(line, np.arange(1 << 20, int(line[-1]) + 1, 1 << 20))) if len(line) else ():
+                # 2^20 lines at a time, whose numbers fit beside the term's 44 bits
+                key = np.sort((line[part] & ((1 << 20) - 1)).astype(np.uint64) << np.uint64(44) | term[part])
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                h, n = np.unique(key[new] & np.uint64((1 << 44) - 1), return_counts=True)
+                hs.append(h)
+                ns.append(n)
+                size += len(h)
             lines += int(np.count_nonzero(data == 10)) + len(off) - 1
-            size += len(h)
             if size > 1 << 22:
                 yield flush()
                 size, lines = 0, 0
@@ -95,7 +125,8 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
     Protected entities (mail and network addresses, phone, card and account numbers, secrets) are replaced by their kind.
     A term (a word without regard to ASCII case) reveals an entity as far as its pointwise mutual information with it,
     counted over the lines of all documents, makes up the entity's information, log2(lines / lines with the entity). Where
-    that share is generalise or more, the term becomes <TERM> in the lines with the entity; where it is remove or more, it
+    that share is generalise or more, the term gives way to its kind (<NUMBER>, <CODE>, <NAME> if it begins with a capital,
+    else <TERM>) in the lines with the entity; where it is remove or more, it
     is taken out of them. Only terms that occur with the entity in two different lines are judged: one line tells nothing
     of a term's company.
 
@@ -106,8 +137,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
-    hinted = F.coalesce(F.col("t").rlike(HINT), F.lit(False))
-    some = src.where(hinted).withColumn("th", F.xxhash64("t"))
+    some = src.where(hinted(F.col("t"))).withColumn("th", F.xxhash64("t"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,7 +152,8 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
                     free = ~taken[w.start]
                     whole = np.concatenate([[-1], edges, [len(own)]])
                     for at, e in {(int(np.searchsorted(edges, a)), h) for a, _, _, h in found}:
-                        terms = np.unique(term[(line == at) & free]).astype(np.int64)
+                        own_line = slice(*np.searchsorted(line, (at, at + 1)))
+                        terms = np.unique(term[own_line][free[own_line]]).astype(np.int64)
                         text = own[whole[at] + 1 : whole[at + 1]]
                         context = int(Words(text, np.array([0, len(text)]), np.zeros(256, bool)).hash[0].astype(np.int64))
                         n = len(terms) + 1
@@ -133,7 +164,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *arrays], ["id", "th", "line", "entity", "term", "context"])
 
-    seen = some.mapInArrow(contexts, f"id {kind}, th bigint, line bigint, entity bigint, term bigint, context bigint")
+    seen = cut(some.mapInArrow(contexts, f"id {kind}, th bigint, line bigint, entity bigint, term bigint, context bigint"))
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("nte"), (F.min("context") != F.max("context")).alias("support"))
     terms = src.where("t is not null").select("t").mapInArrow(_term_lines, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("nt"))
     lines = terms.where("term = -1").select(F.col("nt").alias("lines"))
@@ -163,7 +194,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
                             gone = act.get((int(line[k]), int(term[k])))
                             if gone is not None:
                                 a, z = int(w.start[k]), int(w.end[k])
-                                edits.append((a - (gone and own[a - 1 : a] == b" "), z, b"" if gone else b"<TERM>"))
+                                edits.append((a - (gone and own[a - 1 : a] == b" "), z, b"" if gone else general(own[a:z])))
                                 counted[lo + i, 1] += 1
                     counted[lo + i, 0] = len(found)
                     out, at = [], 0
@@ -174,7 +205,7 @@ def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(counted[:, 0]), pa.array(counted[:, 1])], ["id", "t", "n_entities", "n_terms"])
 
     done = both.mapInArrow(clean, f"id {kind}, t string, n_entities bigint, n_terms bigint")
-    rest = src.where(~hinted).select("id", "t", F.lit(0).cast("bigint").alias("n_entities"), F.lit(0).cast("bigint").alias("n_terms"))
+    rest = src.where(~hinted(F.col("t"))).select("id", "t", F.lit(0).cast("bigint").alias("n_entities"), F.lit(0).cast("bigint").alias("n_terms"))
     return rest.union(done).select(F.col("id").alias(id_col), F.col("t").alias(text_col), "n_entities", "n_terms")
 
 
