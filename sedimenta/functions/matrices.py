@@ -9,8 +9,9 @@ def interpolate(matrix: np.ndarray, granularity: int, sampling: int) -> np.ndarr
     """ticks x ticks from samples x bands: lines at the end of each tick by tick of birth.
 
     Within the sample in which a band is written its lines grow evenly; afterwards they decay evenly between samples. Where
-    a band ends inside a sample, the height at its end is carried on from the growth before, and raised to what the next
-    sample leaves.
+    a band ends inside a sample, the height at its end is carried on from the growth of the sample before (or since the band
+    began, if that was within it); where the sample ends higher than that, the height is what the next sample's decay leads
+    back to.
     """
     samples, bands = matrix.shape
     out = np.zeros((samples * sampling, bands * granularity))
@@ -24,10 +25,12 @@ def interpolate(matrix: np.ndarray, granularity: int, sampling: int) -> np.ndarr
             if end >= last:
                 _grow(out, begin, end, first, last, before, height)
             elif end > first:
-                peak = before + (before / max(1, first - begin) if x and first > begin else height / (end - max(first, begin))) * (end - max(first, begin))
-                if x + 1 < samples:
-                    peak = max(peak, height + max(0.0, height - float(matrix[x + 1, y])) * (last - end) / sampling)
-                peak = max(peak, height)
+                whole = x > 0 and first - sampling >= begin
+                earlier = float(matrix[x - 2, y]) if whole and x > 1 else 0.0
+                peak = before + (before - earlier) / (sampling if whole or not x else max(1, first - begin)) * (end - first)
+                if height > peak:
+                    leaves = (height - float(matrix[x + 1, y])) / sampling if x + 1 < samples else 0.0
+                    peak = height + leaves * (last - end)
                 _grow(out, begin, end, first, end, before, peak)
                 _decay(out, begin, end, end, last, peak, height)
             else:
@@ -66,12 +69,17 @@ def resample(ticks: np.ndarray, granularity: int, sampling: int) -> np.ndarray:
 def merge(parts: list[tuple[np.ndarray, int, int, int]]) -> tuple[np.ndarray, int, int]:
     """The sum of (matrix, granularity, sampling, first tick) at the finest of their granularities and samplings."""
     granularity, sampling = min(p[1] for p in parts), min(p[2] for p in parts)
-    whole = [(interpolate(m, g, s), at) for m, g, s, at in parts]
-    base = min(at for _, at in whole)
-    size = max(max(at - base + t.shape[0], at - base + t.shape[1]) for t, at in whole)
-    total = np.zeros((size, size))
-    for t, at in whole:
-        lo = at - base
-        total[lo : lo + t.shape[0], lo : lo + t.shape[1]] += t
-        total[lo + t.shape[0] :, lo : lo + t.shape[1]] += t[-1]
-    return resample(total, granularity, sampling), granularity, sampling
+    base = min(at for *_, at in parts)
+    size = max(at - base + max(m.shape[0] * s, m.shape[1] * g) for m, g, s, at in parts)
+    rows = np.array([min(size, (k + 1) * sampling) - 1 for k in range(-(-size // sampling))])
+    cuts = np.arange(0, size, granularity)
+    total = np.zeros((len(rows), len(cuts)))
+    for m, g, s, at in parts:  # one repository's ticks at a time; what is kept is samples by bands
+        t, lo = interpolate(m, g, s), at - base
+        band = np.zeros((t.shape[0], len(cuts)))
+        own = (lo + np.arange(t.shape[1])) // granularity
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        band[:, own[first]] = np.add.reduceat(t, first, axis=1)
+        later = rows >= lo
+        total[later] += band[np.minimum(rows[later] - lo, t.shape[0] - 1)]
+    return total, granularity, sampling

@@ -14,8 +14,8 @@ IMPORTS = {"Python": r"(?m)^\s*(?:import|from)\s+([\w.]+)", "Go": r"(?m)^\s*(?:i
 
 
 def is_binary(data: str | Column) -> Column:
-    """A NUL among the first 8000 characters."""
-    return F.locate("\0", F.substring(data, 1, 8000)) > 0
+    """A NUL among the first 8000 bytes."""
+    return F.locate("\0", F.substring(F.encode(data, "UTF-8"), 1, 8000).cast("string")) > 0
 
 
 def line_count(data: str) -> Column:
@@ -54,13 +54,17 @@ def imports(lang: str, data: str) -> Column:
 
 
 def clean_comment(text: str, least: int = 20) -> Column:
-    """A comment without calls and signs, blanks run together; null if it is short, not a sentence, or legal text."""
-    t = F.trim(F.col(text))
-    first = F.rlike(t, F.lit(r"^[\p{L}\p{N}]"))
-    bare = F.regexp_replace(F.regexp_replace(t, r"\s*[a-zA-Z_][a-zA-Z_0-9]*\(\)", " "), r"[^\p{L}\p{N}.,:;!?\-'\s]", "")
-    one = F.trim(F.regexp_replace(bare, r"\s+", " "))
-    letters = F.length(F.regexp_replace(one, r"[^\p{L}]", ""))
-    return F.when(first & (F.length(one) >= max(least, 10)) & (letters * 10 >= F.length(one) * 6) & ~is_license(one), one)
+    """A comment without calls and signs, blanks run together; null if it is short, not a sentence, or legal text.
+
+    Each step is computed once, as the element of a list of one or none: column expressions that are named twice would be
+    copied into every place of the plan. What begins wrong or is too short to end long enough isn't cleaned at all.
+    """
+    size = max(least, 10)
+    some = F.filter(F.array(F.trim(F.col(text))), lambda t: (F.length(t) >= size) & F.rlike(t, F.lit(r"^[\p{L}\p{N}]")))
+    calls = F.transform(some, lambda t: F.regexp_replace(t, r"\s*[a-zA-Z_][a-zA-Z_0-9]*\(\)", " "))
+    one = F.transform(calls, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}.,:;!?\-'\s]", ""), r"\s+", " ")))
+    long = F.filter(one, lambda t: (F.length(t) >= size) & ~is_license(t) & (F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) * 10 >= F.length(t) * 6))
+    return F.get(long, F.lit(0))
 
 
 def is_license(text: str | Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def capped(changes: DataFrame, max_files: int = 1000) -> DataFrame:
@@ -21,19 +22,84 @@ def files(changes: DataFrame, max_files: int = 1000) -> DataFrame:
     return one.select("file1", F.explode("paths").alias("file2")).groupBy("file1", "file2").agg(F.count("*").alias("n"))
 
 
+def contexts(changes: DataFrame, max_files: int = 1000) -> DataFrame:
+    """The rows of changes (commit, path, action, seq, is_merge) that make up a commit's context: what it inserts or modifies.
+
+    A merge commit only adds the files that no earlier commit of at most max_files files has shown; files are seen in order of
+    seq. One shuffle by commit for the sizes, one by path for the first showing.
+    """
+    touched = changes.where("action <> 'D'")
+    sizes = touched.withColumn("_size", F.count("*").over(Window.partitionBy("commit")))
+    by = Window.partitionBy("path").orderBy("seq", "commit").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.max((F.col("_size") <= max_files).cast("int")).over(by), F.lit(0)) > 0
+    return sizes.withColumn("_before", before).where("not coalesce(is_merge, false) or not _before").drop("_size", "_before")
+
+
+def contributions(changes: DataFrame, max_files: int = 1000) -> DataFrame:
+    """The rows that count for people: contexts, and the deletions of commits that aren't merges. No author reads as -1."""
+    gone = changes.where("action = 'D' and not coalesce(is_merge, false)")
+    return contexts(changes, max_files).unionByName(gone).withColumn("author", F.coalesce("author", F.lit(-1)))
+
+
+def propagated(pairs: DataFrame, alias: DataFrame, live: DataFrame) -> DataFrame:
+    """(file1, file2, n) between live files (path), from pairs over all names, with what their former names (alias: path, live)
+    had in common with the others added on both sides."""
+    ends = live.select(F.col("path").alias("file1")), live.select(F.col("path").alias("file2"))
+    kept = pairs.where("n > 0").join(ends[0], "file1", "left_semi").join(ends[1], "file2", "left_semi")
+    final = _aliases(kept, alias)
+    name = final.select(F.col("path").alias("file2"), F.col("live").alias("_to"))
+    old = pairs.join(final.select(F.col("path").alias("file1"), F.col("live").alias("_final")), "file1")
+    old = old.join(name, "file2", "left").groupBy(F.col("_final").alias("file1"), F.coalesce("_to", "file2").alias("file2")).agg(F.sum("n").alias("_more"))
+    old = old.join(kept.withColumnRenamed("n", "_base"), ["file1", "file2"])
+    both = old.unionByName(old.where("file1 <> file2").select(F.col("file2").alias("file1"), F.col("file1").alias("file2"), "_more", "_base"))
+    more = both.groupBy("file1", "file2").agg(F.sum("_more").alias("_more"), F.max("_base").alias("_base"))
+    return kept.join(more, ["file1", "file2"], "left").select("file1", "file2", (F.coalesce("_base", "n") + F.coalesce("_more", F.lit(0))).cast("bigint").alias("n"))
+
+
+def _aliases(kept: DataFrame, alias: DataFrame) -> DataFrame:
+    """The aliases whose live name occurs in kept pairs."""
+    known = kept.select(F.col("file1").alias("live")).distinct()
+    return alias.where("path <> live").join(known, "live", "left_semi")
+
+
+def propagated_people(counts: DataFrame, kept: DataFrame, alias: DataFrame, live: DataFrame) -> DataFrame:
+    """(author, path, n) of people_files with the counts of former names added to the live ones; names that are neither live
+    nor former stay as they are."""
+    final = _aliases(kept, alias).select("path", F.col("live").alias("_to"))
+    moved = counts.join(final, "path").select("author", F.col("_to").alias("path"), "n")
+    stay = counts.join(final, "path", "left_anti").unionByName(counts.join(final, "path", "left_semi").join(live.select("path"), "path", "left_semi"))
+    return stay.select("author", "path", "n").unionByName(moved).groupBy("author", "path").agg(F.sum("n").alias("n"))
+
+
+def file_lines(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(path, lines) of each file that pairs name; sizes (path, lines) comes from the last snapshot."""
+    return pairs.select(F.col("file1").alias("path")).distinct().join(sizes, "path", "left").select("path", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"))
+
+
 def people_files(changes: DataFrame) -> DataFrame:
     """(author, path, n): in how many commits an author changed a file."""
     return changes.select("commit", "author", "path").distinct().groupBy("author", "path").agg(F.count("*").alias("n"))
 
 
 def people(changes: DataFrame) -> DataFrame:
-    """(author1, author2, n): summed over the files of both, the lesser of the counts of their changes.
+    """(author1, author2, n): summed over the files of both, the lesser of the counts of their changes."""
+    return shared(people_files(changes))
+
+
+def shared(counts: DataFrame, block: int = 512) -> DataFrame:
+    """(author1, author2, n) from (author, path, n): summed over the files of both, the lesser of their counts.
 
-    Counts are brought together by file and paired within each file's list, partial sums before the last shuffle.
+    Counts are brought together by file and paired within lists, partial sums before the last shuffle. The authors of a file
+    are dealt over lists of about block, each of which is paired with each, so that a file that all have changed is many tasks'
+    work.
     """
-    lists = people_files(changes).groupBy("path").agg(F.collect_list(F.struct("author", "n")).alias("who"))
-    one = lists.select("who", F.explode("who").alias("a"))
-    pairs = one.select("a", F.explode("who").alias("b"))
+    sized = counts.join(counts.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("_parts")), "path")
+    dealt = sized.withColumn("_part", F.pmod(F.xxhash64("author"), F.col("_parts")).cast("int"))
+    lists = dealt.groupBy("path", "_part", "_parts").agg(F.collect_list(F.struct("author", "n")).alias("who"))
+    left = lists.select("path", F.col("_part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("j"), F.col("who").alias("a"))
+    right = lists.select("path", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("i"), F.col("_part").alias("j"), F.col("who").alias("b"))
+    met = left.join(right, ["path", "i", "j"])
+    pairs = met.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
     return pairs.groupBy(F.col("a.author").alias("author1"), F.col("b.author").alias("author2")).agg(F.sum(F.least("a.n", "b.n")).alias("n"))
 
 

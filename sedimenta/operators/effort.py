@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graphs import cut
+
 STATS = ("added", "removed", "changed")
 
 
@@ -18,8 +20,19 @@ def _sums() -> list[Column]:
     return [F.sum(c).cast("bigint").alias(c) for c in STATS]
 
 
+def plain(log: DataFrame) -> DataFrame:
+    """log without merge commits, where it tells them (is_merge)."""
+    return log.where("not coalesce(is_merge, false)") if "is_merge" in log.columns else log
+
+
 def devs(log: DataFrame, empty_commits: DataFrame | None = None) -> DataFrame:
-    """tick, author, commits and lines; commits without a change count only if their table (commit, author, tick) is given."""
+    """tick, author, commits and lines; commits without a change count only if their table (commit, author, tick) is given.
+
+    A merge commit counts as a commit; its lines are those of the commits it merges, and don't count again.
+    """
+    if "is_merge" in log.columns:
+        own = ~F.coalesce("is_merge", F.lit(False))
+        log = log.withColumns({c: F.when(own, F.col(c)).otherwise(0) for c in STATS})
     per = log.groupBy("tick", "author", "commit").agg(*_sums())  # one row a commit, so that no distinct count is needed
     if empty_commits is not None:
         bare = empty_commits.join(log.select("commit").distinct(), "commit", "left_anti")
@@ -28,7 +41,7 @@ def devs(log: DataFrame, empty_commits: DataFrame | None = None) -> DataFrame:
 
 
 def by_language(log: DataFrame) -> DataFrame:
-    return log.groupBy("tick", "author", "lang").agg(*_sums())
+    return plain(log).groupBy("tick", "author", "lang").agg(*_sums())
 
 
 def totals(log: DataFrame) -> DataFrame:
@@ -66,8 +79,8 @@ def languages(log: DataFrame) -> DataFrame:
 
 
 def commits_stat(log: DataFrame) -> DataFrame:
-    """commit, tick, author and files: a list of (path, lang, added, removed, changed), in order of path."""
-    return log.groupBy("commit", "tick", "author").agg(F.sort_array(F.collect_list(F.struct("path", "lang", *STATS))).alias("files"))
+    """commit, tick, author and files: a list of (path, lang, added, removed, changed), in order of path; no merge commits."""
+    return plain(log).groupBy("commit", "tick", "author").agg(F.sort_array(F.collect_list(F.struct("path", "lang", *STATS))).alias("files"))
 
 
 def churn(log: DataFrame, by_author: bool = False) -> DataFrame:
@@ -77,7 +90,7 @@ def churn(log: DataFrame, by_author: bool = False) -> DataFrame:
 
 
 def file_people(log: DataFrame) -> DataFrame:
-    return log.groupBy("path", "author").agg(*_sums())
+    return plain(log).groupBy("path", "author").agg(*_sums())
 
 
 def live(log: DataFrame) -> DataFrame:
@@ -86,16 +99,28 @@ def live(log: DataFrame) -> DataFrame:
 
 
 def file_commits(log: DataFrame) -> DataFrame:
-    """path and commits, in order, of each live file; an insertion begins the list anew."""
+    """path and commits, in order, of each live file; an insertion begins the list anew, and merge commits don't count.
+
+    For files that were renamed, give couples.renamed(log, alias): a file inherits what it was under its former names.
+    """
     seen = F.struct("ts", "commit")
-    rows = log.groupBy("path").agg(F.max(F.when(F.col("action") == "I", seen)).alias("begin"), F.sort_array(F.collect_list(seen)).alias("all"), F.max_by("action", seen).alias("last"))
+    rows = plain(log).groupBy("path").agg(F.max(F.when(F.col("action") == "I", seen)).alias("begin"), F.sort_array(F.collect_list(seen)).alias("all"), F.max_by("action", seen).alias("last"))
     kept = F.filter("all", lambda x: F.col("begin").isNull() | (x >= F.col("begin")))
     return rows.where("last <> 'D'").select("path", F.transform(kept, lambda x: x["commit"]).alias("commits"))
 
 
+def file_commits_once(rows: DataFrame) -> DataFrame:
+    """file_commits() from one row a file and commit: (path, commit, ts, last, inserted) with the last of its actions by name
+    and whether one of them inserted."""
+    seen = F.struct("ts", "commit")
+    per = rows.groupBy("path").agg(F.max(F.when(F.col("inserted"), seen)).alias("begin"), F.sort_array(F.collect_list(seen)).alias("all"), F.max_by("last", seen).alias("last"))
+    kept = F.filter("all", lambda x: F.col("begin").isNull() | (x >= F.col("begin")))
+    return per.where("last <> 'D'").select("path", F.transform(kept, lambda x: x["commit"]).alias("commits"))
+
+
 def imports(log: DataFrame) -> DataFrame:
-    """How often each author used each import in each tick. A commit's files that share an import count each."""
-    return log.groupBy("author", "lang", "import", "tick").agg(F.count("*").alias("n"))
+    """How often each author used each import in each tick. A commit's files that share an import count each; merges don't."""
+    return plain(log).groupBy("author", "lang", "import", "tick").agg(F.count("*").alias("n"))
 
 
 def rollup(log: DataFrame, *columns: str) -> DataFrame:
@@ -106,13 +131,15 @@ def rollup(log: DataFrame, *columns: str) -> DataFrame:
 def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """df with name: the place of each row by value, descending, then tie, descending.
 
-    Rows are numbered within equal values and the values' counts are summed up beside it, so that no task gets all rows.
+    The rows are put in ranges of their order, whose counts are summed up beside them: a row for each range, and no task gets
+    all rows, however many differ in value.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(value, before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy(value).orderBy(F.desc(tie)))
-    return df.join(offsets, value).withColumn(name, (F.col("_before") + place).cast("bigint")).drop("_before")
+    held = cut(df.repartitionByRange(F.desc(value), F.desc(tie)).withColumn("_part", F.spark_partition_id()))
+    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(value), F.desc(tie)))
+    ranked = held.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")  # a row a partition
+    return ranked.withColumn(name, (F.col("_before") + place).cast("bigint")).drop("_before", "_part")
 
 
 def moving_average(df: DataFrame, key: str, order: str, value: str, radius: int) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import burndown, combine, couples, effort, identity, lines, nodes, renames, series, ticks
+from ..operators import burndown, combine, couples, effort, graphs, identity, lines, nodes, renames, series, ticks
 from ..sources import sinks, tables
 from ..streaming import events
 
@@ -586,10 +587,14 @@ def dialogue_ownership(spark, d):
     return lines.ownership(lines.fold(tables.dialogue(spark, d)))
 
 
-@query("typo_fixes")
+@query("typo_fixes", r"""WITH f AS (SELECT p_partkey AS commit, p_brand AS path, replace(p_name, ' ', '_') AS correct FROM part),
+w AS (SELECT commit, path, replace(correct, 'a', 'aa') AS wrong, correct FROM f), t AS (SELECT *, levenshtein(wrong, correct) AS distance FROM w WHERE regexp_full_match(correct, '[A-Za-z_]\w*'))
+SELECT wrong, correct, min(commit) AS commit, arg_min(path, commit) AS path, 2::BIGINT AS line FROM t WHERE distance BETWEEN 1 AND 4 GROUP BY wrong, correct""")
 def typo_fixes(spark, d):
-    v = lines.versions(tables.dialogue(spark, d))
-    return lines.typo_fixes(v.select(F.col("tick").alias("commit"), "path", "old", "new"))
+    """Names of parts as identifiers in a line of source, mended in the next version."""
+    right = F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))
+    text = [F.concat(F.lit("begin\nuse("), x, F.lit(")\nend\n")) for x in (F.replace(right, F.lit("a"), F.lit("aa")), right)]
+    return lines.typo_fixes(tables.table(spark, d, "part").select(F.col("p_partkey").alias("commit"), F.col("p_brand").alias("path"), text[0].alias("old"), text[1].alias("new")))
 
 
 @query("dtw_distance")
@@ -600,6 +605,194 @@ def dtw_distance(spark, d):
     return series.warped(rows).withColumn("distance", F.round("distance", 9))
 
 
+# --- merges and renames in the leaves ---------------------------------------------------------------------------------
+
+MERGES = LOG + ", m AS (SELECT o_orderkey AS commit, o_orderpriority = '1-URGENT' AS is_merge FROM orders), merged AS (SELECT * FROM log JOIN m USING (commit))"
+CONTEXTS = MERGES + """, touched AS (SELECT *, count(*) OVER (PARTITION BY commit) <= 1000 AS small FROM merged WHERE action <> 'D'),
+contexts AS (SELECT * EXCLUDE (before) FROM (SELECT *, coalesce(max(small) OVER (PARTITION BY path ORDER BY commit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS before FROM touched) WHERE NOT is_merge OR NOT before)"""
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    """The log in order of its commits, of which urgent ones stand for merges."""
+    merge = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("commit"), (F.col("o_orderpriority") == "1-URGENT").alias("is_merge"))
+    return tables.log(spark, d).join(merge, "commit").withColumn("seq", F.col("commit"))
+
+
+@query("devs_merges", MERGES + f"SELECT tick, author, count(DISTINCT commit) AS commits, {', '.join(f'sum(CASE WHEN is_merge THEN 0 ELSE {x} END)::BIGINT AS {x}' for x in effort.STATS)} FROM merged GROUP BY ALL")
+def devs_merges(spark, d):
+    return effort.devs(_merged(spark, d))
+
+
+@query("devs_languages_merges", MERGES + f"SELECT tick, author, lang, {SUMS} FROM merged WHERE NOT is_merge GROUP BY ALL")
+def devs_languages_merges(spark, d):
+    return effort.by_language(_merged(spark, d))
+
+
+@query("commits_no_merges", MERGES + "SELECT commit, tick, author, count(*) AS n_files, string_agg(path || ':' || added, ',' ORDER BY path) AS files FROM merged WHERE NOT is_merge GROUP BY ALL")
+def commits_no_merges(spark, d):
+    stat = effort.commits_stat(_merged(spark, d))
+    each = F.transform("files", lambda x: F.concat_ws(":", x["path"].cast("string"), x["added"].cast("string")))
+    return stat.select("commit", "tick", "author", F.size("files").cast("bigint").alias("n_files"), F.array_join(each, ",").alias("files"))
+
+
+@query("file_history_merges", MERGES + f"SELECT path, author, {SUMS} FROM merged WHERE NOT is_merge GROUP BY ALL")
+def file_history_merges(spark, d):
+    return effort.file_people(_merged(spark, d))
+
+
+@query("couples_merges", CONTEXTS + "SELECT a.path AS file1, b.path AS file2, count(*) AS n FROM contexts a JOIN contexts b USING (commit) GROUP BY ALL")
+def couples_merges(spark, d):
+    return couples.files(couples.contexts(_merged(spark, d)))
+
+
+_COUNTS = """, contributions AS (SELECT commit, coalesce(CASE WHEN author % 7 <> 0 THEN author END, -1) AS author, path FROM (SELECT commit, author, path FROM contexts UNION ALL SELECT commit, author, path FROM merged WHERE action = 'D' AND NOT is_merge)),
+pf AS (SELECT author, path, count(*) AS n FROM contributions GROUP BY ALL)"""
+
+
+def _anonymous(spark: SparkSession, d: str) -> DataFrame:
+    """The log with merges, of which every seventh author isn't known."""
+    return _merged(spark, d).withColumn("author", F.when(F.col("author") % 7 != 0, F.col("author")))
+
+
+@query("couples_missing_author", CONTEXTS + _COUNTS + " SELECT a.author AS author1, b.author AS author2, sum(least(a.n, b.n))::BIGINT AS n FROM pf a JOIN pf b USING (path) GROUP BY ALL")
+def couples_missing_author(spark, d):
+    return couples.people(couples.contributions(_anonymous(spark, d)))
+
+
+_KEPT = f""", p AS ({_PAIRS}), kept AS (SELECT * FROM p WHERE file1 % 10 <> 0 AND file2 % 10 <> 0), names AS (SELECT DISTINCT file1 AS live FROM kept), alias AS (SELECT live - 1 AS path, live FROM names WHERE live % 10 = 1)"""
+
+
+def _tenth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every tenth part was renamed to the next one: the aliases, and the live paths."""
+    parts = tables.table(spark, d, "part").select(F.col("p_partkey").alias("path"))
+    return parts.where("path % 10 = 0").withColumn("live", F.col("path") + 1), parts.where("path % 10 <> 0")
+
+
+@query("couples_renamed", LOG + _KEPT + """, old AS (SELECT x.live AS file1, coalesce(y.live, file2) AS file2, sum(n) AS more FROM p JOIN alias x ON x.path = file1 LEFT JOIN alias y ON y.path = file2 GROUP BY ALL),
+known AS (SELECT old.* FROM old JOIN kept USING (file1, file2)), both_ways AS (SELECT * FROM known UNION ALL SELECT file2, file1, more FROM known WHERE file1 <> file2), more AS (SELECT file1, file2, sum(more) AS more FROM both_ways GROUP BY ALL)
+SELECT file1, file2, (n + coalesce(more, 0))::BIGINT AS n FROM kept LEFT JOIN more USING (file1, file2)""")
+def couples_renamed(spark, d):
+    return couples.propagated(couples.files(tables.log(spark, d)), *_tenth(spark, d))
+
+
+@query("people_files_renamed", LOG + _KEPT + " SELECT author, coalesce(live, path) AS path, count(*) AS n FROM log LEFT JOIN alias USING (path) GROUP BY ALL")
+def people_files_renamed(spark, d):
+    log, (alias, live) = tables.log(spark, d), _tenth(spark, d)
+    kept = couples.files(log).where("file1 % 10 <> 0 and file2 % 10 <> 0")
+    return couples.propagated_people(couples.people_files(log), kept, alias, live)
+
+
+@query("file_history_renamed", LOG + """, moved AS (SELECT commit, ts, CASE WHEN path % 10 = 0 THEN path + 1 ELSE path END AS path, action FROM log),
+seen AS (SELECT *, max(CASE WHEN action = 'I' THEN (ts, commit) END) OVER (PARTITION BY path) AS begin FROM moved)
+SELECT path, string_agg(commit::VARCHAR, ',' ORDER BY ts, commit) FILTER (begin IS NULL OR (ts, commit) >= begin) AS commits FROM (SELECT DISTINCT path, commit, ts, begin FROM seen) WHERE path NOT IN (SELECT path FROM moved GROUP BY path HAVING arg_max(action, (ts, commit, action)) = 'D') GROUP BY path""")
+def file_history_renamed(spark, d):
+    """A file's list holds what it was under its former name; a commit that touched both names counts once."""
+    moved = couples.renamed(tables.log(spark, d), _tenth(spark, d)[0])
+    once = moved.groupBy("path", "commit", "ts").agg(F.max("action").alias("last"), F.max(F.col("action") == "I").alias("inserted"))
+    return effort.file_commits_once(once).select("path", _joined("commits").alias("commits"))
+
+
+@query("overwrites_topk_square", LIVES + "," + _MATRIX + """, best AS (SELECT author FROM matrix WHERE kind = 'self' ORDER BY lines DESC, author LIMIT 20)
+SELECT author, other, lines FROM matrix WHERE kind = 'by' AND author IN (FROM best) AND other IN (FROM best)""")
+def overwrites_topk_square(spark, d):
+    matrix = burndown.overwrites(burndown.deltas(tables.lives(spark, d)))
+    best = effort.top(matrix.where("kind = 'self'"), "lines", 20, "author").select("author")  # 20 rows
+    rows = matrix.where("kind = 'by'").join(F.broadcast(best), "author", "left_semi")
+    return rows.join(F.broadcast(best.withColumnRenamed("author", "other")), "other", "left_semi").select("author", "other", "lines")
+
+
+@query("couples_symmetric", LOG + f", p AS ({_PAIRS}), half AS (SELECT * FROM p WHERE file1 <= file2) SELECT file1, file2, sum(n)::BIGINT AS n FROM (SELECT * FROM half UNION ALL SELECT file2, file1, n FROM half WHERE file1 <> file2) GROUP BY ALL")
+def couples_symmetric(spark, d):
+    return couples.symmetric(couples.files(tables.log(spark, d)).where("file1 <= file2"), "file1", "file2")
+
+
+# --- graphs and names -------------------------------------------------------------------------------------------------
+
+
+@query("ancestors", "WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS commit, o_orderkey // k AS parent FROM orders, (SELECT unnest([2, 3]) AS k) WHERE o_orderkey // k > 0), seen AS (SELECT commit FROM (SELECT DISTINCT commit FROM e ORDER BY commit DESC LIMIT 5) UNION SELECT parent FROM seen JOIN e USING (commit)) SELECT commit FROM seen")
+def ancestors(spark, d):
+    """Each commit's parents are half and a third of its number; heads are the five greatest."""
+    keys = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("commit")).distinct()
+    edges = keys.select("commit", F.explode(F.array(F.floor(F.col("commit") / 2), F.floor(F.col("commit") / 3))).alias("parent")).where("parent > 0").distinct()
+    heads = edges.select("commit").distinct().orderBy(F.desc("commit")).limit(5)
+    return graphs.ancestors(edges, heads)
+
+
+@query("rename_chain", "SELECT c_custkey AS path, (c_custkey + 4) // 5 * 5 AS live FROM customer WHERE c_custkey % 5 <> 0")
+def rename_chain(spark, d):
+    steps = tables.table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("from_path"), (F.col("c_custkey") + 1).alias("to_path"))
+    return graphs.chain(steps)
+
+
+@query("largest_component", "WITH e AS (SELECT c_custkey AS a, c_custkey - c_custkey % 7 AS b FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT b AS root, a AS node FROM e UNION SELECT b, b FROM e), best AS (SELECT root FROM n GROUP BY root ORDER BY count(*) DESC, root LIMIT 1) SELECT node FROM n WHERE root IN (FROM best)")
+def largest_component(spark, d):
+    even = tables.table(spark, d, "customer").where("c_custkey % 2 = 0")
+    return graphs.largest_component(even.select(F.col("c_custkey").alias("a"), (F.col("c_custkey") - F.col("c_custkey") % 7).alias("b")))
+
+
+@query("mailmap", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, lower(c_mktsegment) || '@x' AS email, CASE WHEN c_custkey % 2 = 0 THEN 'Old ' || c_custkey END AS old_name, CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '@old' END AS old_email FROM customer")
+def mailmap(spark, d):
+    c = tables.table(spark, d, "customer")
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(F.when(F.col("c_custkey") % 3 != 0, F.concat("c_name", F.lit(" "))).otherwise(F.lit("")), F.lit("<"), F.lower("c_mktsegment"), F.lit("@x>"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" Old "), key, F.lit(" <"), key, F.lit("@old>"))).otherwise(F.lit("")))
+    return c.select("c_custkey", line.alias("line")).select("c_custkey", text.mailmap("line").alias("m")).select("c_custkey", "m.*")
+
+
+@query("merged_comments", """WITH c AS (SELECT l_orderkey AS path, l_linenumber * 3 AS s, l_linenumber * 3 + l_quantity::BIGINT % 3 AS e, any_value(l_returnflag) AS t FROM lineitem GROUP BY ALL),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, coalesce(s > max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true)::INT AS fresh FROM c))
+SELECT path, min(s)::BIGINT AS start, max(e)::BIGINT AS "end", count(*) AS n FROM i GROUP BY path, island""")
+def merged_comments(spark, d):
+    rows = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), (F.col("l_linenumber") * 3).cast("bigint").alias("start"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("bigint") % 3).alias("end")).distinct()
+    found = nodes.merged_comments(rows.withColumn("text", F.lit("x")))
+    return found.select("path", "start", "end", F.size(F.split("text", "\n")).cast("bigint").alias("n"))
+
+
+_SPANS = "WITH n AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS node, l_linenumber * 4 AS s, l_linenumber * 4 + 3 + l_linenumber % 3 AS e FROM lineitem), c AS (SELECT DISTINCT l_suppkey AS commit, l_orderkey AS path, l_quantity::BIGINT AS line FROM lineitem), touched AS (SELECT DISTINCT commit, path, node FROM c JOIN n USING (path) WHERE line BETWEEN s AND e)"
+
+
+def _touched(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order fall into spans of lines, which stand for syntax nodes and overlap."""
+    rows = tables.table(spark, d, "lineitem")
+    number = F.col("l_linenumber")
+    spans = rows.select(F.col("l_orderkey").alias("path"), number.alias("node"), (number * 4).alias("start"), (number * 4 + 3 + number % 3).alias("end")).distinct()
+    edits = rows.select(F.col("l_suppkey").alias("commit"), F.col("l_orderkey").alias("path"), F.col("l_quantity").cast("bigint").alias("line")).distinct()
+    return nodes.touched(spans, edits)
+
+
+@query("interval_join", _SPANS + " SELECT commit, path, node FROM touched")
+def interval_join(spark, d):
+    return _touched(spark, d)
+
+
+@query("shotness", _SPANS + " SELECT path, node, count(*) AS n FROM touched GROUP BY ALL")
+def shotness(spark, d):
+    return nodes.hotness(_touched(spark, d))
+
+
+@query("shotness_ranking", _SPANS + ", h AS (SELECT path, node, count(*) AS n FROM touched GROUP BY ALL) SELECT path, node, n, row_number() OVER (ORDER BY n DESC, path DESC, node DESC) AS rank FROM h QUALIFY rank <= 50")
+def shotness_ranking(spark, d):
+    best = nodes.ranked(nodes.hotness(_touched(spark, d))).limit(50)  # the report's 50 rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("path"), F.desc("node"))).cast("bigint"))
+
+
+@query("mood_totals", "WITH m AS (SELECT turn AS tick, (avg(length(text)) % 100) / 100 AS value FROM conversations GROUP BY turn) SELECT round(sum(greatest((0.5 - value) * 2, 0)), 6) AS positive, round(sum(greatest((value - 0.5) * 2, 0)), 6) AS negative, round(sum((0.5 - value) * 2), 6) AS delta FROM m")
+def mood_totals(spark, d):
+    mood = tables.table(spark, d, "conversations").groupBy(F.col("turn").alias("tick")).agg(((F.avg(F.length("text")) % 100) / 100).alias("value"), F.count("*").alias("n"))
+    return nodes.mood_totals(mood).select(*[F.round(c, 6).alias(c) for c in ("positive", "negative", "delta")])
+
+
+@query("imports_of_sources", LOG + """, src AS (SELECT author, tick, unnest(CASE WHEN commit % 2 = 0 THEN ['os', lower(p_brand)] ELSE ['java.' || p_size, 'x.Y'] END) AS import, CASE WHEN commit % 2 = 0 THEN 'Python' ELSE 'Java' END AS lang FROM (SELECT DISTINCT commit, author, tick, path FROM log) JOIN (SELECT p_partkey AS path, replace(p_brand, '#', '_') AS p_brand, p_size FROM part) USING (path))
+SELECT author, lang, import, tick, count(*) AS n FROM src GROUP BY ALL""")
+def imports_of_sources(spark, d):
+    """Imports read off source text, in two languages, that parts make up."""
+    part = tables.table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))).alias("brand"), F.col("p_size").cast("string").alias("size"))
+    rows = tables.log(spark, d).select("commit", "author", "tick", "path").join(part, "path")
+    even = F.col("commit") % 2 == 0
+    code = F.when(even, F.concat(F.lit("import os\nfrom "), "brand", F.lit(" import thing\nx = 1\n"))).otherwise(F.concat(F.lit("import java."), "size", F.lit(";\nimport static x.Y;\nclass A {}\n")))
+    rows = rows.select("commit", "author", "tick", F.when(even, "Python").otherwise("Java").alias("lang"), code.alias("data"))
+    return effort.imports(rows.select("author", "tick", "lang", F.explode(text.imports("lang", "data")).alias("import")))
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 _WINDOW = "epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT"

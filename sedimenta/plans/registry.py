@@ -59,6 +59,9 @@ class Registry:
         chosen: dict[str, Operator] = {}
         queue = list(names)
         while queue:
+            if queue[0] in given and queue[0] not in self.operators:  # a table that is there needn't be made
+                queue.pop(0)
+                continue
             found = [o for o in self.summon(queue[0]) if not o.feature or o.feature in features]
             if not found and queue[0] not in given:
                 raise ValueError(f"nothing provides {queue[0]}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graphs import cut
+from ..operators.graphs import checkpoint_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "events", watermark: str = "1 hour") -> DataFrame:
@@ -45,15 +46,15 @@ def deduplicated(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """What the stream gives once all that is there has been read, as a table in the shared folder."""
     spark = stream.sparkSession
-    cut(spark.range(1))  # sets the folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+        # a batch that is tried again replaces what it had written
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/out")
 
 
 def clamp(events: DataFrame, size: int = 86400) -> DataFrame:
@@ -61,13 +62,12 @@ def clamp(events: DataFrame, size: int = 86400) -> DataFrame:
     fields = events.select("user_id", "event_id", "ts")
 
     def run(key, frames, state):
-        top = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values("event_id")
-        ticks = []
-        for t in rows["ts"]:
-            top = max(top, int(t.timestamp()) // size)
-            ticks.append(top)
-        state.update((top,))
+        ticks = (rows["ts"] - pd.Timestamp(0)) // pd.Timedelta(seconds=size)
+        ticks = np.maximum.accumulate(ticks.to_numpy())
+        if state.exists:
+            ticks = np.maximum(ticks, state.get[0])
+        state.update((int(ticks[-1]),))
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "tick": ticks})
 
     return fields.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, tick bigint", "top bigint", "append", "NoTimeout")

@@ -1,0 +1,195 @@
+"""Merges, renames and missing authors in the leaves, and runs of the registered chain from snapshots to results."""
+
+import itertools
+import random
+from datetime import datetime
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from sedimenta import History, registry
+from sedimenta.functions import matrices
+from sedimenta.operators import burndown, couples, effort, graphs, renames
+from sedimenta.streaming import events
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def changes(spark, *commits):
+    """Commits as (author, merge, changes): +inserted, -deleted, =modified, >old>new renamed."""
+    out = []
+    for seq, (author, merge, names) in enumerate(commits):
+        for name in names.split():
+            path = name.split(">")[2] if name[0] == ">" else name[1:]
+            out.append((seq, seq, author, merge, path, {"+": "I", "-": "D"}.get(name[0], "M"), 1, 2, 3, "go", seq))
+    return spark.createDataFrame(out, "commit int, seq int, author int, is_merge boolean, path string, action string, added int, removed int, changed int, lang string, tick int")
+
+
+PLAIN = [(0, False, "+LICENSE2 +file2.go +rbtree2.go"), (0, False, "+README.md -LICENSE2 =analyser.go >file2.go>file_test.go"), (1, False, "=README.md =analyser.go -rbtree2.go"), (2, False, "=file_test.go")]
+
+
+def test_couples_of_files_and_people(spark):
+    own = changes(spark, *PLAIN)
+    live = ("README.md", "analyser.go", "file_test.go")
+    at = {name: k for k, name in enumerate(live)}
+    pairs = {(at[a], at[b]): n for a, b, n in rows(couples.files(couples.contexts(own))) if a in at and b in at}
+    assert pairs == {(0, 0): 2, (0, 1): 2, (0, 2): 1, (1, 0): 2, (1, 1): 2, (1, 2): 1, (2, 0): 1, (2, 1): 1, (2, 2): 2}
+    alias = spark.createDataFrame([("file2.go", "file_test.go")], "path string, live string")
+    moved = couples.propagated(couples.files(couples.contexts(own)), alias, spark.createDataFrame([(x,) for x in live], "path string"))
+    assert {(at[a], at[b]): n for a, b, n in rows(moved)} == pairs | {(2, 2): 3}
+    people = {(a, b): n for a, b, n in rows(couples.people(couples.contributions(own)))}
+    assert people == {(0, 0): 7, (0, 1): 3, (0, 2): 1, (1, 0): 3, (1, 1): 3, (2, 0): 1, (2, 2): 1}
+
+
+def test_couples_of_a_missing_author(spark):
+    own = changes(spark, *PLAIN[:3], (None, False, "=file_test.go"))
+    people = {(a, b): n for a, b, n in rows(couples.people(couples.contributions(own)))}
+    assert people[-1, -1] == 1 and people[0, -1] == people[-1, 0] == 1 and people[1, 1] == 3
+
+
+def test_merges_show_new_files_only(spark):
+    own = changes(spark, (0, True, "+LICENSE2 +file2.go"), (0, True, "+file2.go -LICENSE2 >file2.go>file_test.go"))
+    assert rows(couples.files(couples.contexts(own))) == [("LICENSE2", "LICENSE2", 1), ("LICENSE2", "file2.go", 1), ("file2.go", "LICENSE2", 1), ("file2.go", "file2.go", 1), ("file_test.go", "file_test.go", 1)]
+    assert rows(couples.people_files(couples.contributions(own))) == [(0, "LICENSE2", 1), (0, "file2.go", 1), (0, "file_test.go", 1)]
+
+
+def test_renames_are_propagated(spark):
+    cells = {"one": "one 1 two 2 three 3", "two": "one 2 two 10 three 1 four 7", "three": "one 3 two 1 three 3 four 2", "four": "two 7 three 3 four 1"}
+    pairs = [(a, b, int(n)) for a, row in cells.items() for b, n in zip(row.split()[::2], row.split()[1::2])]
+    pairs = spark.createDataFrame(pairs, "file1 string, file2 string, n bigint")
+    alias, live = spark.createDataFrame([("one", "four")], "path string, live string"), spark.createDataFrame([("two",), ("three",), ("four",)], "path string")
+    got = {(a, b): n for a, b, n in rows(couples.propagated(pairs, alias, live))}
+    assert got == {("two", "two"): 10, ("two", "three"): 1, ("two", "four"): 9, ("three", "two"): 1, ("three", "three"): 3, ("three", "four"): 6, ("four", "two"): 9, ("four", "three"): 6, ("four", "four"): 2}
+    counts = spark.createDataFrame([(0, "one", 1), (0, "two", 2), (0, "three", 3), (0, "four", 4)], "author int, path string, n bigint")
+    kept = pairs.where("file1 <> 'one' and file2 <> 'one'")
+    assert rows(couples.propagated_people(counts, kept, alias, live)) == [(0, "four", 5), (0, "three", 3), (0, "two", 2)]
+
+
+def test_people_of_a_file_that_all_have_changed(spark):
+    counts = [(a, "hot", a % 5 + 1) for a in range(40)] + [(a, "cold", 2) for a in range(0, 40, 9)]
+    want = {(a, b): sum(min(x, y) for (i, p, x), (j, q, y) in itertools.product(counts, counts) if (i, j) == (a, b) and p == q) for a in range(40) for b in range(40)}
+    got = couples.shared(spark.createDataFrame(counts, "author int, path string, n bigint"), block=7)
+    assert {(a, b): n for a, b, n in rows(got)} == want
+
+
+def test_leaves_pass_over_merges(spark):
+    log = changes(spark, (0, False, "+a +b"), (0, True, "=a +c"), (1, True, "=b")).withColumn("tick", F.lit(0)).withColumn("ts", F.col("seq"))
+    assert rows(effort.devs(log)) == [(0, 0, 2, 2, 4, 6), (0, 1, 1, 0, 0, 0)]
+    assert rows(effort.by_language(log)) == [(0, 0, "go", 2, 4, 6)] and effort.commits_stat(log).count() == 1
+    assert [r[0] for r in rows(effort.file_people(log))] == ["a", "b"] and rows(effort.file_commits(log)) == [("a", [0]), ("b", [0])]
+
+
+def history(spark, drop=None):
+    """Three commits of two files, of which one is renamed and edited."""
+    body = [f"line {k} of the file\n" for k in range(20)]
+    texts = {"b0": "".join(body), "b1": "import os\nx = 1\n", "b2": "".join(body[:10] + ["new\n"] + body[11:]), "b3": "import os\nimport re\nx = 1\n", "bin": "a\0b"}
+    trees = [{"old.py": "b0", "m.py": "b1", "v.bin": "bin"}, {"new.py": "b2", "m.py": "b1"}, {"new.py": "b2", "m.py": "b3", "vendor/x.py": "b1"}]
+    snapshots = spark.createDataFrame([(k, p, b) for k, t in enumerate(trees) for p, b in t.items()], "seq bigint, path string, blob string")
+    blobs = spark.createDataFrame([(b, t) for b, t in texts.items() if b != drop], "blob string, text string")
+    commits = spark.createDataFrame([(f"c{k}", k, "xyx"[k], datetime(2020, 1, 1 + k)) for k in range(3)], "commit string, seq bigint, author string, ts timestamp_ntz").withColumn("tick", F.col("seq") * 30)
+    return History(spark, snapshots=snapshots, blobs=blobs, commits=commits)
+
+
+def test_burndown_from_snapshots(spark):
+    out = history(spark).run(["Burndown", "Devs", "Ownership", "Overwrites", "ImportsPerDeveloper"], skip_blacklist=True, measure=True)
+    assert rows(out["Burndown"]) == sorted([(0, 0, 22), (0, 1, 0), (0, 2, 0), (1, 0, 21), (1, 1, 1), (1, 2, 0), (2, 0, 21), (2, 1, 1), (2, 2, 1)], key=str)
+    assert rows(out["Devs"]) == sorted([(0, "x", 1, 22, 0, 0), (30, "y", 1, 0, 0, 1), (60, "x", 1, 1, 0, 0)], key=str)
+    assert rows(out["Ownership"]) == [("m.py", "x", 3), ("new.py", "x", 19), ("new.py", "y", 1)]
+    assert ("x", "by", "y", -1) in rows(out["Overwrites"])
+    assert rows(out["ImportsPerDeveloper"]) == sorted([("x", "Python", "os", 0, 1), ("x", "Python", "os", 60, 1), ("x", "Python", "re", 60, 1)], key=str)
+    took = out["_common"].first()["run_time_per_item"]
+    assert {"TreeDiff", "BlobCache", "Renames", "LineFold", "Burndown"} <= set(took) and min(took.values()) > 0
+
+
+def test_options_leave_files_out(spark):
+    own = history(spark)
+    assert {r["path"] for r in own.run(["TreeDiff"], whitelist=r"m\.py$")["TreeDiff"].collect()} == {"m.py"}
+    assert {r["path"] for r in own.run(["TreeDiff"], languages=("python",))["TreeDiff"].collect()} == {"old.py", "new.py", "m.py", "vendor/x.py"}
+    assert {r["path"] for r in own.run(["TreeDiff"], skip_blacklist=True, blacklisted_prefixes=("m.",))["TreeDiff"].collect()} == {"old.py", "new.py", "v.bin", "vendor/x.py"}
+    assert {r["from_path"] for r in own.run(["Renames"], M=100)["Renames"].where("path = 'new.py'").collect()} == {None, "new.py"} - {"new.py"}
+    with pytest.raises(ValueError):
+        History(spark, snapshots=own.tables["snapshots"]).run(["Burndown"])
+
+
+def test_missing_blobs_read_as_empty(spark):
+    texts = history(spark, drop="b3").run(["BlobCache"])["BlobCache"]
+    assert [(r["from_text"], r["to_text"]) for r in texts.where("to_blob = 'b3'").collect()] == [("import os\nx = 1\n", "")]
+    assert {r["from_text"] for r in texts.where("action = 'I'").collect()} == {None}
+
+
+def test_every_leaf_is_registered():
+    assert {"Burndown", "Couples", "Devs", "FileHistory", "Typos", "Ownership"} <= {o.name for o in registry.leaves()}
+    assert [o.name for o in registry.resolve(["Burndown"], given=("snapshots", "blobs", "commits"))] == ["TreeDiff", "BlobCache", "Renames", "Files", "LineFold", "Deltas", "Burndown"]
+
+
+def test_assignment_takes_the_better_direction(spark):
+    """One deleted file is like both inserted ones, the other like the first alone: both find a match."""
+    body = [f"line number {k}\n" for k in range(30)]
+    first, both, alone = "".join(body), "".join(body[:-2] + ["x\n", "y\n"]), "".join(body[:22] + [f"z{k}\n" for k in range(8)])
+    own = spark.createDataFrame([(1, "a", "D", both), (1, "b", "D", first), (1, "a2", "I", first + "tail\n"), (1, "z", "I", both + "end\n")], "commit int, path string, action string, text string")
+    assert {(a, b) for _, a, b in rows(renames.detect(own, 80))} and len(rows(renames.detect(own, 80))) == 2
+    assert alone
+
+
+def test_interpolation_within_a_sample():
+    """A band of 30 ticks sampled every 20 ends inside the second sample."""
+    grown = matrices.interpolate(np.array([[20, 0], [25, 5], [24, 20]], float), 30, 20)
+    assert grown[29, :30].sum() == pytest.approx(30) and grown[39, :30].sum() == pytest.approx(25)
+    raised = matrices.interpolate(np.array([[20, 0], [35, 5], [31, 20]], float), 30, 20)
+    assert raised[29, :30].sum() == pytest.approx(37) and raised[39, :30].sum() == pytest.approx(35)
+    last = matrices.interpolate(np.array([[20, 0], [35, 5]], float), 30, 20)
+    assert last[29, :30].sum() == pytest.approx(35)
+
+
+def test_merged_matrices_of_other_starts_and_settings():
+    """merge() against whole tick matrices that are moved, added and sampled."""
+    rng = np.random.default_rng(3)
+    parts = [(np.tril(rng.integers(1, 50, (4, 4))).astype(float), 10, 10, 0), (np.tril(rng.integers(1, 50, (3, 3))).astype(float), 15, 15, 7), (np.tril(rng.integers(1, 50, (2, 2))).astype(float), 10, 10, 33)]
+    total, granularity, sampling = matrices.merge(parts)
+    size = max(at + max(m.shape[0] * s, m.shape[1] * g) for m, g, s, at in parts)
+    whole = np.zeros((size, size))
+    for m, g, s, at in parts:
+        t = matrices.interpolate(m, g, s)
+        whole[at : at + len(t), at : at + t.shape[1]] += t
+        whole[at + len(t) :, at : at + t.shape[1]] += t[-1]
+    assert (granularity, sampling) == (10, 10) and np.allclose(total, matrices.resample(whole, 10, 10))
+
+
+def test_ancestors_of_long_and_merged_histories(spark):
+    rng = random.Random(5)
+    parents = {n: {n - 1} | ({rng.randrange(n)} if n % 9 == 0 else set()) for n in range(1, 400)} | {n: {n - 500} for n in range(900, 950)}
+    edges = spark.createDataFrame([(c, p) for c, own in parents.items() for p in own], "commit int, parent int")
+    for head in (399, 930, 0):
+        want, left = {head}, [head]
+        while left:
+            new = parents.get(left.pop(), set()) - want
+            want |= new
+            left += new
+        assert {r[0] for r in graphs.ancestors(edges, spark.createDataFrame([(head,)], "commit int")).collect()} == want
+
+
+def test_global_rank(spark):
+    rng = random.Random(1)
+    own = [(k, rng.randrange(50)) for k in range(500)]
+    got = effort.global_rank(spark.createDataFrame(own, "author int, n int"), "n", "author", "rank")
+    want = {a: k + 1 for k, (a, _) in enumerate(sorted(own, key=lambda x: (-x[1], -x[0])))}
+    assert {r["author"]: r["rank"] for r in got.collect()} == want
+
+
+def test_ticks_before_the_epoch_and_written_batches(spark, tmp_path):
+    path = str(tmp_path / "events.parquet")
+    rows_of = [(k, k % 2, f"19{69 + k // 4}-0{k % 4 + 1}-01 12:00:00") for k in range(12)]
+    spark.createDataFrame(rows_of, "event_id bigint, user_id bigint, t string").select("event_id", "user_id", F.to_timestamp_ntz("t").alias("ts")).write.parquet(path)
+    got = {r["event_id"]: r["tick"] for r in events.drained(events.clamp(events.read(spark, str(tmp_path))), "append").collect()}
+    days = {k: (pd.Timestamp(t) - pd.Timestamp(0)) // pd.Timedelta(days=1) for k, _, t in rows_of}
+    assert got == {k: max(days[j] for j in range(k % 2, k + 1, 2)) for k in range(12)} and min(got.values()) < 0
+
+
+def test_survivors_are_the_sum_of_deltas(spark):
+    lives = spark.createDataFrame([("f", 1, 2, 0, 5, 10), ("f", 1, 1, 3, 9, 4)], "path string, author int, remover int, birth bigint, death bigint, lines bigint")
+    cells = rows(burndown.sampled(burndown.deltas(lives), 1, 1))
+    assert {(s, b): n for s, b, n in cells} == {**{(s, 0): 10 for s in range(5)}, **{(s, 3): 4 for s in range(3, 9)}}
