@@ -33,15 +33,36 @@ def blacklisted(*paths: str, prefixes: tuple[str, ...] = BLACKLIST) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(p).startswith(x), F.lit(False)) for p in paths for x in prefixes])
 
 
+#: Paths of what others wrote or tools made.
+VENDORED = r"(^|/)(vendors?|node_modules|bower_components|third[-_]?party|3rd[-_]?party|externals?|Godeps|Pods|Carthage|dist|cache|deps|\.git|\.idea|\.vscode|__pycache__)/|[.-]min\.(js|css)$|(^|/)(jquery|bootstrap|react|angular)([.-][^/]*)?\.(js|css)$|(^|/)(package-lock\.json|yarn\.lock|Gopkg\.lock|go\.sum|Cargo\.lock|Gemfile\.lock|gradlew(\.bat)?|mvnw(\.cmd)?|configure|config\.(guess|sub)|aclocal\.m4)$"
+
+
+def vendored(path: str) -> Column:
+    """Whether a path is of vendored code, a lock file or what a build tool leaves."""
+    return F.coalesce(F.rlike(path, F.lit(VENDORED)), F.lit(False))
+
+
 def whitelisted(*paths: str, pattern: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.rlike(p, F.lit(pattern)), F.lit(False)) for p in paths])
 
 
-def language(path: str) -> Column:
-    """The language that goes by a file's ending; '' if unknown."""
+#: Files that are known by their whole name, and interpreters of scripts.
+NAMES = {"makefile": "Makefile", "dockerfile": "Dockerfile", "cmakelists.txt": "CMake", "rakefile": "Ruby", "gemfile": "Ruby", "jenkinsfile": "Groovy", "build.bazel": "Starlark"}
+INTERPRETERS = {"python": "Python", "python2": "Python", "python3": "Python", "sh": "Shell", "bash": "Shell", "zsh": "Shell", "node": "JavaScript", "ruby": "Ruby", "perl": "Perl", "php": "PHP"}
+
+
+def _found(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def language(path: str, data: str | None = None) -> Column:
+    """The language that goes by a file's name, its ending or, where data is given, the interpreter that its first line names;
+    '' if unknown."""
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, ending), F.lit(""))
+    known = [_found(NAMES, F.lower(basename(path))), _found(LANGUAGES, ending)]
+    if data is not None:
+        known.append(_found(INTERPRETERS, F.regexp_extract(data, r"^#!\s*(?:\S*/env\s+(?:-\S+\s+)*|\S*/)?([a-z]+[0-9]?)", 1)))
+    return F.coalesce(*known, F.lit(""))
 
 
 def imports(lang: str, data: str) -> Column:

@@ -55,6 +55,21 @@ def ownership(lives: DataFrame, horizon: Column) -> DataFrame:
     return alive.groupBy("path", F.coalesce("author", F.lit(-1)).alias("author")).agg(F.sum("lines").alias("lines"))
 
 
+def ranked_owners(owned: DataFrame) -> DataFrame:
+    """owned (path, author, lines) with rank: the owners of each file by lines, the greatest first."""
+    return owned.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("lines"), "author")).cast("bigint"))
+
+
+def labelled(cells: DataFrame, granularity: int, sampling: int, origin: str) -> DataFrame:
+    """cells with day, that on which the sample ends, and label, the days 'from - to' of the band; origin is that of tick 0."""
+    def day(ticks: Column) -> Column:
+        return F.date_add(F.to_date(F.lit(origin)), ticks.cast("int"))
+
+    first = F.col("band") * granularity
+    label = F.concat_ws(" - ", day(first).cast("string"), day(first + granularity).cast("string"))
+    return cells.withColumn("day", day((F.col("sample") + 1) * sampling).cast("string")).withColumn("label", label)
+
+
 def first_appearance(cells: DataFrame, key: str) -> DataFrame:
     """The first sample in which each key has lines."""
     return cells.where("lines > 0").groupBy(key).agg(F.min("sample").alias("sample"))

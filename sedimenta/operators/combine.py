@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matrices
+from .identity import union_identities
 
 
 def header(results: DataFrame) -> DataFrame:
@@ -28,6 +31,41 @@ def couples(results: DataFrame) -> DataFrame:
     return results.groupBy("file1", "file2").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+def couples_results(*results: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sums of (file pairs (file1, file2, n), people pairs (author1, author2, n), file lines (path, lines)) of several
+    repositories. People go by label: labels that share a name or an address become one; null is whoever isn't known."""
+    pairs, people, sizes = zip(*results)
+    labels = [p.select(F.col("author1").alias("label")).union(p.select(F.col("author2"))).where("label is not null").distinct() for p in people]
+    names = union_identities(*labels)
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        key = names.select(F.col("key").alias("_key"), F.col("label").alias("_label")).dropDuplicates(["_key"])
+        return df.join(key, F.element_at(F.split(column, r"\|"), 1) == F.col("_key"), "left").withColumn(column, F.col("_label")).drop("_key", "_label")
+
+    files = reduce(DataFrame.unionByName, pairs).groupBy("file1", "file2").agg(F.sum("n").cast("bigint").alias("n"))
+    who = renamed(renamed(reduce(DataFrame.unionByName, people), "author1"), "author2").groupBy("author1", "author2").agg(F.sum("n").cast("bigint").alias("n"))
+    return files, who, reduce(DataFrame.unionByName, sizes).groupBy("path").agg(F.sum("lines").cast("bigint").alias("lines"))
+
+
+def merged(results: list[dict[str, DataFrame]], only: str | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """The results of several runs, by leaf, as one, and what couldn't be merged. With only just that leaf is merged."""
+    known = {"Devs": ("tick", "author"), "Languages": ("tick", "author", "lang"), "Couples": ("file1", "file2"), "CouplesPeople": ("author1", "author2"), "Churn": ("tick", "author"), "Overwrites": ("author", "kind", "other"), "Shotness": ("path", "node"), "ImportsPerDeveloper": ("author", "lang", "import", "tick"), "FileHistory": ("path", "author"), "Ownership": ("path", "author")}
+    out: dict[str, DataFrame] = {}
+    errors = []
+    for name in dict.fromkeys(n for r in results for n in r if not n.startswith("_") and only in (None, n)):
+        parts = [r[name] for r in results if name in r]
+        if len(parts) > 1 and name not in known:
+            errors.append(f"{name}: results can't be merged")
+            continue
+        if len({tuple(sorted(p.columns)) for p in parts}) > 1:
+            errors.append(f"{name}: results have other columns")
+            continue
+        keys = [c for c in known.get(name, ()) if c in parts[0].columns]
+        sums = [F.sum(c).cast("bigint").alias(c) for c in parts[0].columns if c not in keys]
+        out[name] = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*sums) if len(parts) > 1 else parts[0]
+    return out, errors
+
+
 def burndown(results: DataFrame) -> DataFrame:
     """(key, sample, band, lines) from (key, repo, granularity, sampling, start, sample, band, lines): each repository's matrix is
     interpolated to single ticks, moved by its start, added and sampled at the finest setting. One group a key."""

@@ -92,6 +92,11 @@ def first_parents(commits: DataFrame) -> DataFrame:
     return commits.select("commit", F.get("parents", F.lit(0)).alias("parent"))
 
 
+def unique_parents(commits: DataFrame) -> DataFrame:
+    """commits (commit, parents) with each parent once, in the order of first mention, without the commit itself."""
+    return commits.withColumn("parents", F.array_distinct(F.filter("parents", lambda p: p != F.col("commit"))))
+
+
 def chain(renames: DataFrame) -> DataFrame:
     """(path, live): the last name of each path, from (from_path, to_path), by doubling of the jumps. Of a path that has been
     renamed more than once, the least target counts; the names of a circle stand for themselves."""

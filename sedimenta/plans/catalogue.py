@@ -793,6 +793,71 @@ def imports_of_sources(spark, d):
     return effort.imports(rows.select("author", "tick", "lang", F.explode(text.imports("lang", "data")).alias("import")))
 
 
+# --- more of names, trees and reports ---------------------------------------------------------------------------------
+
+
+@query("vendored_filter", r"SELECT page_id, path FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'vendor/a.go' WHEN 1 THEN 'src/x.min.js' WHEN 2 THEN 'lib/node_modules/y.js' ELSE 'src/' || page_id || '.py' END AS path FROM pages) WHERE page_id % 5 > 2")
+def vendored_filter(spark, d):
+    kinds = F.when(F.col("page_id") % 5 == 0, "vendor/a.go").when(F.col("page_id") % 5 == 1, "src/x.min.js").when(F.col("page_id") % 5 == 2, "lib/node_modules/y.js")
+    pages = tables.table(spark, d, "pages").select("page_id", F.coalesce(kinds, F.concat(F.lit("src/"), F.col("page_id").cast("string"), F.lit(".py"))).alias("path"))
+    return pages.where(~text.vendored("path"))
+
+
+@query("language_detection", "SELECT p_partkey, (['Python', 'Makefile', 'Shell', ''])[p_partkey % 4 + 1] AS language FROM part")
+def language_detection(spark, d):
+    """By ending, by whole name, by interpreter, and of what isn't known."""
+    part = tables.table(spark, d, "part").withColumn("k", F.col("p_partkey") % 4)
+    path = F.when(F.col("k") == 0, "a/b.PY").when(F.col("k") == 1, "src/Makefile").otherwise("bin/tool")
+    code = F.when(F.col("k") == 2, "#!/usr/bin/env bash\necho").otherwise("text")
+    return part.withColumns({"path": path, "data": code}).select("p_partkey", text.language("path", "data").alias("language"))
+
+
+@query("tree_xpath", "SELECT c_custkey AS path, c_mktsegment || ',n' || c_nationkey AS found FROM customer")
+def tree_xpath(spark, d):
+    """Trees made of customers: an XPath expression takes the names of what lies under calls."""
+    c = tables.table(spark, d, "customer")
+    xml = F.concat(F.lit("<file><call><id name='"), "c_mktsegment", F.lit("'/><id name='n"), F.col("c_nationkey").cast("string"), F.lit("'/></call><id name='outside'/></file>"))
+    found = nodes.selected(c.select(F.col("c_custkey").alias("path"), xml.alias("xml")), "//call/id/@name")
+    return found.select("path", F.array_join("values", ",").alias("found"))
+
+
+@query("node_hash_groups", "SELECT count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY c_mktsegment, c_nationkey")
+def node_hash_groups(spark, d):
+    """Nodes of the same properties have one hash, whatever the order in which these are told."""
+    c = tables.table(spark, d, "customer")
+    a, b = (F.lit("segment"), F.col("c_mktsegment")), (F.lit("nation"), F.col("c_nationkey").cast("string"))
+    own = F.when(F.col("c_custkey") % 2 == 0, F.create_map(*a, *b)).otherwise(F.create_map(*b, *a))
+    return c.select("c_custkey", nodes.node_hash(own).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first")).drop("hash")
+
+
+@query("ownership_ranked", LIVES + ", o AS (SELECT path, coalesce(author, -1) AS author, sum(lines)::BIGINT AS lines FROM lives, horizon WHERE birth <= h AND death > h GROUP BY ALL) SELECT path, author, lines, row_number() OVER (PARTITION BY path ORDER BY lines DESC, author) AS rank FROM o")
+def ownership_ranked(spark, d):
+    return burndown.ranked_owners(burndown.ownership(tables.lives(spark, d), _horizon(spark, d)))
+
+
+@query("burndown_labels", LIVES + "," + _cells("", 90, 90) + " SELECT sample, band, lines, ((SELECT d FROM start) + ((sample + 1) * 90)::INT)::VARCHAR AS day, ((SELECT d FROM start) + (band * 90)::INT)::VARCHAR || ' - ' || ((SELECT d FROM start) + (band * 90 + 90)::INT)::VARCHAR AS label FROM cells WHERE lines <> 0")
+def burndown_labels(spark, d):
+    origin = str(tables.commits(spark, d).agg(F.min("ts")).first()[0].date())
+    return burndown.labelled(burndown.sampled(burndown.deltas(tables.lives(spark, d)), 90, 90), 90, 90, origin)
+
+
+@query("unique_parents", "SELECT o_orderkey AS commit, CASE WHEN o_orderkey // 2 = o_orderkey // 3 THEN (o_orderkey // 2)::VARCHAR ELSE (o_orderkey // 2) || ',' || (o_orderkey // 3) END AS parents FROM orders WHERE o_orderkey > 0")
+def unique_parents(spark, d):
+    key = F.col("o_orderkey")
+    half, third = F.floor(key / 2), F.floor(key / 3)
+    rows = tables.table(spark, d, "orders").where(key > 0).select(key.alias("commit"), F.array(half, third, half, key).alias("parents"))
+    return graphs.unique_parents(rows).select("commit", _joined("parents").alias("parents"))
+
+
+@query("combine_only", LOG + _REGIONS + f"SELECT tick, author, count(DISTINCT commit)::BIGINT AS commits, {SUMS} FROM own GROUP BY ALL")
+def combine_only(spark, d):
+    """The results of the regions, of which just one leaf is combined."""
+    own = _regional(spark, d)
+    names = [r[0] for r in tables.table(spark, d, "region").select("r_name").orderBy("r_name").collect()]  # five repositories
+    parts = [{"Devs": effort.devs(own.where(F.col("repo") == n)), "Churn": effort.churn(own.where(F.col("repo") == n))} for n in names]
+    return combine.merged(parts, "Devs")[0]["Devs"]
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 _WINDOW = "epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT"
@@ -823,3 +888,8 @@ def stream_dedup(spark, d):
 @query("stream_clamp", "SELECT user_id, event_id, max(floor(epoch(ts) / 86400)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id) AS tick FROM events")
 def stream_clamp(spark, d):
     return events.drained(events.clamp(events.read(spark, d)), "append")
+
+
+@query("stream_joined", "SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 2 DAY WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_joined(spark, d):
+    return events.drained(events.followed(events.read(spark, d), "click", "purchase", "2 days"), "append")

@@ -38,6 +38,15 @@ def _windowed(events: DataFrame, window: Column) -> DataFrame:
     return events.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents")).select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "cents")
 
 
+def followed(events: DataFrame, first: str, then: str, within: str = "1 hour") -> DataFrame:
+    """Each event of type first with each of type then of the same user at most within later: a join of two streams, whose
+    states the watermark bounds."""
+    a = events.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = events.where(F.col("event_type") == then).select(F.col("user_id").alias("_user"), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts"))
+    near = F.expr(f"user_id = _user and then_ts >= first_ts and then_ts <= first_ts + interval {within}")
+    return a.join(b, near).select("user_id", "first_id", "then_id")
+
+
 def deduplicated(events: DataFrame) -> DataFrame:
     """The first event of each user, type and time; state older than the watermark is dropped."""
     return events.dropDuplicatesWithinWatermark(["user_id", "event_type", "ts"]).select("user_id", "event_type", F.unix_timestamp("ts").alias("second"))
