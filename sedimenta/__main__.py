@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +56,32 @@ def parser() -> argparse.ArgumentParser:
     both.add_argument("--only", help="the one leaf to combine")
     both.add_argument("--out", required=True, help="folder for what comes of it")
     commands.add_parser("list", help="list leaves, features and options")
+    made = commands.add_parser("plugin", help="print the skeleton of a module that registers a leaf")
+    made.add_argument("name", help="name of the leaf")
     return top
 
 
+PLUGIN = """from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sedimenta import Operator, Option, registry
+
+
+def {low}(log: DataFrame, {low}_least: int) -> dict[str, DataFrame]:
+    counts = log.groupBy("path").agg(F.count("*").alias("n"))
+    return {{"{low}": counts.where(F.col("n") >= {low}_least)}}
+
+
+registry.register(Operator("{name}", ("log",), ("{low}",), {low}, (Option("{low}_least", 1, "changes of a file from which on it counts"),), leaf=True))
+"""
+
+
+def plugins() -> None:
+    """Imports the modules that SEDIMENTA_PLUGINS names, parted by commas, so that what they register is there."""
+    for name in filter(None, os.environ.get("SEDIMENTA_PLUGINS", "").split(",")):
+        import_module(name)
+
+
 def _tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
     if args.tables:
         names = sorted(x.removesuffix(".parquet") for x in os.listdir(args.tables) if x.endswith(".parquet"))
@@ -81,7 +106,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame]:
 
 
 def main(argv: list[str] | None = None) -> int:
+    plugins()
     args = parser().parse_args(argv)
+    if args.command == "plugin":
+        low = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|\W+", "_", args.name).lower()
+        print(PLUGIN.format(name=args.name, low=low), end="")
+        return 0
     if args.command == "list":
         for o in registry.operators.values():
             print(f"{o.name}{' (leaf)' * o.leaf}{f' [{o.feature}]' * bool(o.feature)}: {', '.join(o.requires)} -> {', '.join(o.provides)}")

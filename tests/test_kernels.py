@@ -98,3 +98,10 @@ def test_order_and_roll():
     with pytest.raises(ValueError):
         toposort({"a": ["b"], "b": ["a"]})
     assert best_roll([1, 2, 3], [2, 3, 1]) == (1, 0)
+
+
+def test_long_unlike_texts_are_replaced():
+    a, b = [f"a{k}" for k in range(30_000)], [f"b{k}" for k in range(30_000)]
+    assert diff.edits(["x", *a], ["x", *b, "y"]) == [("=", 1), ("-", 30_000), ("+", 30_001)]
+    assert diff.edits(a, a[:100] + ["new"] + a[200:]) == [("=", 100), ("-", 100), ("+", 1), ("=", 29_800)]
+    assert diff.edits(list("abcabba"), list("cbabac"), limit=0) == [("-", 7), ("+", 6)]

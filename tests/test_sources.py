@@ -87,6 +87,14 @@ def test_module_runs_without_installation():
     assert "Burndown (leaf)" in done.stdout
 
 
+def test_plugins_register_leaves(tmp_path, capsys):
+    assert cli.main(["plugin", "HotFiles"]) == 0
+    (tmp_path / "hot_files_plugin.py").write_text(capsys.readouterr().out)
+    env = os.environ | {"PYTHONPATH": str(tmp_path), "SEDIMENTA_PLUGINS": "hot_files_plugin"}
+    done = subprocess.run([sys.executable, "-m", "sedimenta", "list"], cwd=HERE, env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert "HotFiles (leaf): log -> hot_files" in done.stdout and "--hot-files-least 1" in done.stdout
+
+
 def test_wire_vectors():
     assert wire.encode("Lines", {"added": 150}) == b"\x08\x96\x01" and wire.encode("Lines", {"removed": -1}) == b"\x10" + b"\xff" * 9 + b"\x01"
     assert wire.encode("Row", {"columns": [3, 270, 86942]}) == b"\x0a\x06\x03\x8e\x02\x9e\xa7\x05" and wire.encode("Matrix", {"name": "testing"}) == b"\x0a\x07testing"
