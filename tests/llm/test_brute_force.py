@@ -272,7 +272,7 @@ def test_pipeline(spark, docs):
     con.register("d", table)
     lines = con.sql("WITH " + line_dedup.LINE_DEDUP_CTE.format(table="d") + "SELECT doc_id, text, n_removed FROM deduped").fetchall()
     left = {i: t for i, t, n in lines if not n or t.strip(" ")}
-    for i in brute_groups(list(left.items())):
+    for i in brute_groups(list(left.items()), simhash.NEAR):
         del left[i]
     df = spark.createDataFrame(list(left.items()), "doc_id bigint, text string")
     for r in decontamination.find(df, spark.read.parquet(f"{SF}/benchmark.parquet")).collect():

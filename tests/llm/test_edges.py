@@ -112,3 +112,28 @@ def test_stages(spark, docs, folder, name, stage):
         assert out.count() <= (10_000 if name == "pack" else own.count())
     if name == "benchmark":
         assert 1 not in [r["doc_id"] for r in stage(spark, docs, folder).collect()]
+
+
+def test_stages_carry_a_column_that_an_operator_adds(spark, folder):
+    """n_removed is the user's, whatever is removed, and other odd names come along."""
+    text = "\n".join(f"shared line {k}" for k in range(30))
+    df = spark.createDataFrame([(k, f"{text}\nown {k}", "en", "s", 1, 99, "a", "b") for k in range(2)], "doc_id bigint, text string, lang string, source string, n_chars bigint, n_removed int, key string, c0 string")
+    out = corpus_pipeline.lines(spark, df, folder)
+    assert out.columns == df.columns and {(r["n_removed"], r["key"], r["c0"]) for r in out.collect()} == {(99, "a", "b")}
+    assert sum(r["n_chars"] == len(r["text"]) for r in out.collect()) == 1
+    assert corpus_pipeline.near_duplicates(spark, df, folder).columns == corpus_pipeline.benchmark(spark, df, folder).columns == df.columns
+
+
+def test_stages_judge_rows_without_an_id(spark, folder):
+    words = "the cat sat on the mat and looked at the dog"
+    other = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, words), (3, words), (None, other), (None, other), (7, other), (-2, other), (None, None), (None, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(map(str, rows_of(corpus_pipeline.near_duplicates(spark, df, folder)))) == sorted(map(str, [(3, words), (-2, other), (None, None), (None, ""), (4, None)]))
+    assert sorted(map(str, rows_of(corpus_pipeline.benchmark(spark, df, folder)))) == sorted(map(str, [r for r in rows if r[1] != words]))
+    lone = df.where("doc_id is null")
+    assert [r for r in rows_of(corpus_pipeline.near_duplicates(spark, lone, folder)) if r[1]] in ([(None, words), (None, other)], [(None, other), (None, words)])
+
+
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
