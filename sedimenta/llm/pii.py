@@ -55,11 +55,20 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[Words, np.ndarray, np.nda
     return w, w.hash >> np.uint64(20), np.searchsorted(edges, w.start)
 
 
+def _checks(number: str) -> bool:
+    """Whether a card number's last digit is the check digit of the others (Luhn)."""
+    d = [int(c) for c in reversed(number) if c.isdecimal()]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
 def entities(text: str) -> list[tuple[int, int, str, int]]:
     """(start byte, end byte, kind, hash) of each protected entity."""
     out = []
     ascii_only, at, counted, size = text.isascii(), 0, 0, 0
     while m := ENTITY.match(text, at) or _BEYOND.search(text, at):
+        if m.lastgroup == "CARD" and not _checks(m.group()):
+            at = m.start() + 1
+            continue
         a, b = m.span()
         at = b
         if not ascii_only:
@@ -122,7 +131,8 @@ def _term_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitise(docs: DataFrame, generalise: float = 0.75, remove: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, the sanitised text, n_entities and n_terms (how many entities and terms were replaced or removed), a row a row.
 
-    Protected entities (mail and network addresses, phone, card and account numbers, secrets) are replaced by their kind.
+    Protected entities (mail and network addresses, phone, card and account numbers, secrets) are replaced by their kind;
+    a number without a card's check digit is none.
     A term (a word without regard to ASCII case) reveals an entity as far as its pointwise mutual information with it,
     counted over the lines of all documents, makes up the entity's information, log2(lines / lines with the entity). Where
     that share is generalise or more, the term gives way to its kind (<NUMBER>, <CODE>, <NAME> if it begins with a capital,
