@@ -545,7 +545,8 @@ def csr_encode(spark, d):
     return rows.select("row", F.array_join("indices", ",").alias("indices"), _joined("data").alias("data"), "indptr")
 
 
-@query("combine_burndown")
+@query("combine_burndown", LIVES + "," + _cells("", 30, 30) + """, size AS (SELECT max(sample) AS s FROM cells WHERE lines <> 0), line AS (SELECT unnest(range(0, s + 1)) AS k FROM size)
+SELECT a.k AS sample, b.k AS band, coalesce(lines, 0)::BIGINT AS lines FROM line a CROSS JOIN line b LEFT JOIN cells ON sample = a.k AND band = b.k""")
 def combine_burndown(spark, d):
     """The project matrices of the regions, sampled on their own, as one."""
     lives = tables.lives(spark, d).join(tables.regions(spark, d), "author")
@@ -582,6 +583,29 @@ def dialogue_burndown(spark, d):
     return burndown.sampled(moves, 1, 1, ("path",))
 
 
+_VERSIONS = """WITH v AS (SELECT conv_id AS path, turn AS tick, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + (text NOT LIKE '%' || chr(10))::INT END AS n FROM conversations)
+"""
+
+
+@query("dialogue_lines", _VERSIONS + "SELECT path, tick, n::BIGINT AS lines FROM v WHERE n > 0")
+def dialogue_lines(spark, d):
+    """The lines of each version, as the changes that the fold tells add up to."""
+    moves = lines.fold(tables.dialogue(spark, d)).where("kind = 'delta'").groupBy("path", F.col("cur_tick").alias("tick")).agg(F.sum("delta").alias("delta"))
+    every = tables.dialogue(spark, d).select("path", "tick").join(moves, ["path", "tick"], "left")
+    total = F.sum(F.coalesce("delta", F.lit(0))).over(Window.partitionBy("path").orderBy("tick"))
+    return every.select("path", "tick", total.cast("bigint").alias("lines")).where("lines > 0")
+
+
+@query("line_stats_net", _VERSIONS + "SELECT path, tick, (n - coalesce(lag(n) OVER (PARTITION BY path ORDER BY tick), 0))::BIGINT AS net FROM v")
+def line_stats_net(spark, d):
+    return lines.line_stats(tables.dialogue(spark, d)).select("path", "tick", (F.col("added") - F.col("removed")).alias("net"))
+
+
+@query("dialogue_ownership_lines", _VERSIONS + "SELECT path, arg_max(n, tick)::BIGINT AS lines FROM v GROUP BY path HAVING arg_max(n, tick) > 0")
+def dialogue_ownership_lines(spark, d):
+    return lines.ownership(lines.fold(tables.dialogue(spark, d))).groupBy("path").agg(F.sum("lines").cast("bigint").alias("lines"))
+
+
 @query("dialogue_ownership")
 def dialogue_ownership(spark, d):
     return lines.ownership(lines.fold(tables.dialogue(spark, d)))
