@@ -132,7 +132,12 @@ class Model:
 def train(docs: DataFrame, train_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """A model of the labels in docs. Document frequencies are counted over every document; the weights are fitted on about
     train_rows of the rows that have a label and text, however many have none, drawn by a hash of the id and the text; a fifth
-    of them is kept back for the temperature."""
+    of them is kept back for the temperature.
+
+    Rows with a null or empty text count for nothing, and those with a null label only for frequencies; a null id is drawn as
+    any other. Very long texts are read whole. Equal rows are drawn together, each with its weight, and ties in the hash go by
+    label. Of an empty table, or one without labels, comes a model that knows no language. Other columns are ignored.
+    """
     src = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.lower(text_col).alias("t"), F.col(label_col).alias("y"))
     n, df = frequencies(src.select("t"), BUCKETS, _present)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)

@@ -137,6 +137,11 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 3000, pairs: int
     half of them with toxic documents, where there are both kinds. The threshold is the score at quantile among the scores
     of all documents with text: about this share of the corpus isn't kept, so set it to the share of bad documents. Without
     such pairs every score is 0 and all are kept.
+
+    Labels with a null id or quality are left out; a null toxic reads as 0. Labels that share an id are one: bad if one of
+    them is, toxic if one of them is. Documents that share an id are drawn each; null texts and null ids aren't drawn, and very
+    long texts are read whole. Ties in the order of drawn rows go by text. An empty table on either side gives no pairs.
+    Other columns are ignored.
     """
     toxic = F.coalesce("toxic", F.lit(0)) != 0
     own = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 1) & ~toxic).alias("good"), toxic.alias("toxic")).where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"), F.max("toxic").alias("toxic"))
