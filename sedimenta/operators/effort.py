@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graphs import cut
+from .ranges import carried, ranged
 
 STATS = ("added", "removed", "changed")
 
@@ -134,12 +134,9 @@ def global_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     The rows are put in ranges of their order, whose counts are summed up beside them: a row for each range, and no task gets
     all rows, however many differ in value.
     """
-    held = cut(df.repartitionByRange(F.desc(value), F.desc(tie)).withColumn("_part", F.spark_partition_id()))
-    counts = held.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = carried(ranged(df, F.desc(value), F.desc(tie)), F.count("*"), F.sum)
     place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(value), F.desc(tie)))
-    ranked = held.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")  # a row a partition
-    return ranked.withColumn(name, (F.col("_before") + place).cast("bigint")).drop("_before", "_part")
+    return held.withColumn(name, (F.coalesce("_before", F.lit(0)) + place).cast("bigint")).drop("_before", "_part")
 
 
 def moving_average(df: DataFrame, key: str, order: str, value: str, radius: int) -> DataFrame:

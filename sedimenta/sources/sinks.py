@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranges import carried, ranged
 from . import wire
 
 
 def csr(cells: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """(row, indices, data, indptr) of each row: columns in order, their values, and how many values end with this row.
 
-    The counts are summed up over ranges of rows, so that no task gets all of them; row is a whole number.
+    The counts are summed up over ranges of rows, so that no task gets all of them.
     """
 
     packed = cells.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("c"), F.col(value).alias("v")))).alias("x"))
-    rows = packed.select(F.col(row).alias("row"), F.transform("x", lambda s: s["c"]).alias("indices"), F.transform("x", lambda s: s["v"]).alias("data"), F.size("x").cast("bigint").alias("_n"), F.floor(F.col(row) / 16384).alias("_r"))
-    before = F.coalesce(F.sum("_m").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carried = rows.groupBy("_r").agg(F.sum("_n").alias("_m")).select("_r", before.alias("_b"))
-    own = F.sum("_n").over(Window.partitionBy("_r").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(carried, "_r").withColumn("indptr", own + F.col("_b")).drop("_r", "_n", "_b")
+    rows = packed.select(F.col(row).alias("row"), F.transform("x", lambda s: s["c"]).alias("indices"), F.transform("x", lambda s: s["v"]).alias("data"), F.size("x").cast("bigint").alias("_n"))
+    held = carried(ranged(rows, F.col("row")), F.sum("_n"), F.sum)
+    own = F.sum("_n").over(Window.partitionBy("_part").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("indptr", own + F.coalesce("_before", F.lit(0))).drop("_part", "_n", "_before")
 
 
 def coo(rows: DataFrame) -> DataFrame:
