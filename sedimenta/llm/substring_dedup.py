@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ._text import Words, merged, segments, slices, spans_hash
+from ._text import Words, cut, merged, segments, slices, spans_hash
 
 #: Bytes of segments that make up one automaton.
 SHARD_BYTES = 2 << 20
@@ -19,9 +18,10 @@ SHARD_BYTES = 2 << 20
 def locate(texts: list[bytes], low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, last word + 1) of each union of recurring passages in one shard's segments.
 
-    low and high: the least and the greatest document that has the segment. A window of k words recurs if the segments
-    that have it lie in two documents; passages are runs of such windows. They are compiled into one automaton, through
-    which every segment is streamed.
+    low and high: the least and the greatest document that has the segment. A window of k words may recur if the segments
+    with its hash lie in two documents. Windows that only ever follow one another make up one passage. Each passage is read
+    off one segment and compiled into the automaton, through which every segment is streamed: where a passage occurs, and
+    whether it does so in two documents, is what the automaton finds, byte by byte.
     """
     import ahocorasick
 
@@ -33,30 +33,51 @@ def locate(texts: list[bytes], low: np.ndarray, high: np.ndarray, k: int) -> tup
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     first = np.flatnonzero(new)
-    again = np.zeros(len(grams), bool)
+    code = np.full(len(grams), -1)
     if len(first):
         least, most = np.minimum.reduceat(low[w.doc[order]], first), np.maximum.reduceat(high[w.doc[order]], first)
-        again[order] = (least != most)[np.cumsum(new) - 1]
-    hit = np.flatnonzero(again)
+        code[order] = np.where(least != most, np.arange(len(first)), -1)[np.cumsum(new) - 1]
+    hit = np.flatnonzero(code >= 0)
     if not len(hit):
         return (np.empty(0, np.int64),) * 3
-    s, e, d = merged(hit, hit + 1, w.doc[hit])
+    times = np.bincount(code[hit], minlength=len(first))
+    # the windows right behind one another, and how often those of one hash stand before those of one other
+    pair = hit[:-1][(np.diff(hit) == 1) & (w.doc[hit[1:]] == w.doc[hit[:-1]])]
+    a, b = code[pair], code[pair + 1]
+    follow, least, most = np.bincount(a, minlength=len(first)), np.full(len(first), len(first)), np.full(len(first), -1)
+    np.minimum.at(least, a, b)
+    np.maximum.at(most, a, b)
+    joined = np.zeros(len(grams), bool)
+    joined[pair + 1] = (least == most)[a] & (follow == times)[a] & (times[a] == times[b])
+    place = np.zeros(len(first), np.int64)
+    place[code[hit][::-1]] = hit[::-1]  # where each window stands first
+    s = hit[~joined[hit]]
+    e = np.append(np.flatnonzero(~joined[hit])[1:], len(hit)) - 1
+    once = place[code[s]] == s
+    s, e = s[once], hit[e[once]]
     whole = b"".join(x + b"\n" for x in texts).decode("latin-1")
+    passages: dict[str, int] = {}
+    for x, y in zip(w.start[s].tolist(), w.end[e + k - 1].tolist()):
+        passages.setdefault(" " + whole[x:y] + " ", len(passages))
     automaton = ahocorasick.Automaton()
-    for a, b in zip(w.start[s].tolist(), w.end[e + k - 2].tolist()):
-        passage = " " + whole[a:b] + " "
-        automaton.add_word(passage, len(passage))
+    for passage, n in passages.items():
+        automaton.add_word(passage, (n, len(passage)))
     automaton.make_automaton()
-    begin, stop, text = [], [], []
-    for i in np.unique(d).tolist():
-        a = int(w.start[w.offsets[i]])
-        line = " " + whole[a : int(w.end[w.offsets[i + 1] - 1])] + " "
-        for last, n in automaton.iter(line):
-            begin.append(a + last - n + 1)
-            stop.append(a + last - 1)
+    begin, stop, text, which = [], [], [], []
+    for i in np.unique(w.doc[hit]).tolist():
+        x = int(w.start[w.offsets[i]])
+        line = " " + whole[x : int(w.end[w.offsets[i + 1] - 1])] + " "
+        for last, (n, size) in automaton.iter(line):
+            begin.append(x + last - size + 1)
+            stop.append(x + last - 1)
             text.append(i)
-    first, last, i = np.searchsorted(w.start, begin), np.searchsorted(w.end, stop) + 1, np.array(text)
-    first, last, i = merged(first, last, i)
+            which.append(n)
+    i, n = np.array(text), np.array(which)
+    lo, hi = np.full(len(passages), np.iinfo(np.int64).max), np.full(len(passages), np.iinfo(np.int64).min)
+    np.minimum.at(lo, n, low[i])
+    np.maximum.at(hi, n, high[i])
+    two = (lo != hi)[n]
+    first, last, i = merged(np.searchsorted(w.start, begin)[two], np.searchsorted(w.end, stop)[two] + 1, i[two])
     return i, first - w.offsets[i], last - w.offsets[i]
 
 
@@ -67,12 +88,12 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated(docs: DataFrame, min_words: int = 40, seed_words: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words) of each maximal run of words that windows of min_words words cover which occur in
-    two documents or more. Words are what white space parts; they are compared byte by byte.
+    two documents or more. Words are what white space parts.
 
     Each text is cut into overlapping segments by minimisers, so that equal windows fall under the same minimiser wherever
-    they lie. Segments whose minimiser is in one document only are dropped. Of the others, each distinct one is brought to
-    its minimiser's shard, where passages are confirmed, compiled into an automaton of bounded size and located; what is
-    found in a segment counts for every document that has it.
+    they lie. Segments whose minimiser is in one document only are dropped. Of the others, each distinct one (by a 64-bit hash
+    of its words) is brought to its minimiser's shard, where passages are confirmed, compiled into an automaton of bounded size
+    and located, byte by byte; what is found in a segment counts for every document that has it.
 
     Null and empty texts and those of fewer than min_words words give no row, and neither do rows without an id. Repeats
     within a document don't count, and rows that share an id count as one document; if their texts differ, the passages of
@@ -81,7 +102,7 @@ def repeated(docs: DataFrame, min_words: int = 40, seed_words: int = 12, id_col:
     """
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t")).where("id is not null and t is not null")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, data, off in slices(b.column(2)):
                 w = Words(data, off)
@@ -90,9 +111,9 @@ def repeated(docs: DataFrame, min_words: int = 40, seed_words: int = 12, id_col:
                 base = w.offsets[w.doc[s]]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(least), pa.array(spans_hash(w.hash, s, e).view(np.int64)), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))], ["id", "th", "mh", "sk", "s", "e"])
 
-    rows = src.mapInArrow(cut, "id bigint, th bigint, mh bigint, sk bigint, s int, e int")
-    by = Window.partitionBy("mh")
-    again = rows.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("lo != hi").drop("lo", "hi")
+    rows = src.mapInArrow(split, "id bigint, th bigint, mh bigint, sk bigint, s int, e int")
+    # a minimiser that many share is counted before the shuffle, and met by one row a minimiser in the join
+    again = cut(rows.join(rows.groupBy("mh").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("mh"), "mh", "left_semi"))
     one = again.groupBy("mh", "sk").agg(F.min(F.struct("id", "th", "s", "e")).alias("r"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     wanted = one.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("mh", "sk", F.col("r.s").alias("s"), F.col("r.e").alias("e"), "lo", "hi")).alias("c"))
     texts = src.join(wanted, ["id", "th"]).select("t", "c")
