@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.graphs import checkpoint_dir, cut
+
+__all__ = ["NON_ALNUM", "SPACES", "Words", "checkpoint_dir", "cut", "merged", "mix", "segments", "slices", "spans_hash", "window_min"]
 
 #: Bytes of text handled at once; a single longer document is still handled whole.
 SLICE_BYTES = 1 << 21
@@ -25,25 +27,6 @@ SPACES = np.isin(_b, [9, 10, 11, 12, 13, 32])
 NON_ALNUM = ~((_b >= 128) | ((_b >= 48) & (_b <= 57)) | ((_b >= 65) & (_b <= 90)) | ((_b >= 97) & (_b <= 122)))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's; a temporary one only in local mode, where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
