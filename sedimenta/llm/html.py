@@ -26,8 +26,9 @@ def visible(page: str) -> str:
 def covered(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last + 1) of each union of runs of least tokens or more that occur on two pages, from the suffix array.
 
-    Suffixes are sorted by their first least tokens, in buckets by their first one; neighbours that agree in all of them
-    share a prefix of that length.
+    Suffixes are sorted by their first least tokens, in buckets by their first one. Deeper order isn't needed: the cover of
+    all repeats of least tokens or more is that of the repeats of just least tokens, which are the intervals of the array
+    whose neighbours' longest common prefixes reach least.
     """
     n = len(tokens) - least + 1
     if n <= 0:
@@ -60,12 +61,12 @@ def covered(tokens: np.ndarray, page: np.ndarray, least: int) -> tuple[np.ndarra
 def extract(pages: DataFrame, least: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, host and text of each page: the runs of its words that no repeated substring of its host covers, a line a run.
 
-    The words of a host's pages are concatenated; every substring of least words or more that occurs on two different pages
-    of the host is boilerplate and goes, wherever it occurs. Repeats within one page stay.
+    The words of a host's pages are concatenated; every substring of least words or more that occurs on two distinct pages
+    of the host is boilerplate and goes, wherever it occurs. Pages of a host that have the same words are one page, so that a
+    page under several addresses loses nothing to itself; each copy gets the result. Repeats within one page stay.
 
     A null or empty page, or one of which nothing is left, has an empty text. A null or malformed url belongs to the host
-    ''. Null ids are carried along; rows that repeat an id or a whole page are pages of their own, so that a page that
-    occurs twice on a host loses what it shares with itself. Ties don't arise. An empty table gives no rows; other columns
+    ''. Null ids are carried along; rows that repeat an id or a whole page get a result each. Ties don't arise. An empty table gives no rows; other columns
     are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
@@ -78,7 +79,8 @@ def extract(pages: DataFrame, least: int = 6, id_col: str = "page_id", url_col:
 
     def one(t: pa.Table) -> pa.Table:
         texts = t.column("t").combine_chunks()
-        texts = texts if isinstance(texts, pa.Array) else texts.chunk(0)
+        texts = (texts if isinstance(texts, pa.Array) else texts.chunk(0)).dictionary_encode()
+        which, texts = texts.indices, texts.dictionary  # each distinct page once
         hashes, pages_of, at = [], [], 0
         for lo, _, data, off in slices(texts):
             w = Words(data, off)
@@ -105,7 +107,7 @@ def extract(pages: DataFrame, least: int = 6, id_col: str = "page_id", url_col:
             for d, x, y in zip(w.doc[a].tolist(), w.start[a].tolist(), w.end[z].tolist()):
                 runs[d].append(raw[x:y].decode("utf-8", "replace"))
             out += ["\n".join(r) for r in runs]
-        return pa.table({"id": t.column("id"), "host": t.column("host"), "text": pa.array(out, pa.string())})
+        return pa.table({"id": t.column("id"), "host": t.column("host"), "text": pa.array(out, pa.string()).take(which)})
 
     done = src.mapInArrow(text, f"id {kind}, host string, t string").groupBy("host").applyInArrow(one, f"id {kind}, host string, text string")
     return done.withColumnRenamed("id", id_col)
