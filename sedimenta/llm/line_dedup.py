@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 FACTOR = 31
 
@@ -39,8 +38,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, id_col: str
 
     A null text stays null and an empty one empty, with 0 removed; a text of which nothing is left is empty. A null id
     sorts first. Rows that are the same in id and text are one document, and each gets its result; rows with one id and
-    other texts are documents of their own. An empty table stays empty. Other columns are carried along; if one is called
-    n_removed, it is replaced.
+    other texts are documents of their own. Ties don't arise between different places. The work on a text is in proportion to
+    its length, however long it is. An empty table stays empty. Other columns are carried along; if one is called n_removed,
+    it is replaced.
     """
     base = docs.drop("n_removed")
     key = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th")]
@@ -68,29 +68,47 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 4, id_col: str
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["_id", "_th", "s", "e", "k1", "k2"])
 
-    found = src.mapInArrow(chunks, f"_id {kind}, _th bigint, s int, e int, k1 bigint, k2 bigint")
-    by_hash = Window.partitionBy("k1", "k2")
+    found = src.mapInArrow(chunks, f"_id {kind}, _th bigint, s int, e int, k1 bigint, k2 bigint")  # hashed twice rather than stored
     place = F.struct("_id", "_th", "s")
-    again = found.withColumn("lo", F.min(place).over(by_hash)).withColumn("hi", F.max(place).over(by_hash)).where("lo != hi").drop("lo", "hi")
-    wanted = again.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e", "k1", "k2")).alias("c"))
-
-    def on(side: DataFrame, cols: str) -> DataFrame:
-        right = side.select(F.col("_id").alias("r_id"), F.col("_th").alias("r_th"), cols)
-        return right
-
-    w = on(wanted, "c")
-    texts = src.join(w, F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")))
-    texts = texts.select("_id", "_th", F.split("_text", "\n", -1).alias("ls"), F.explode("c").alias("c"))
-    texts = texts.select("_id", "_th", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.k1").alias("k1"), F.col("c.k2").alias("k2"), F.array_join(F.slice("ls", F.col("c.s") + 1, F.col("c.e") - F.col("c.s")), "\n").alias("bytes"))
-    same = Window.partitionBy("k1", "k2", "bytes")
-    losers = texts.withColumn("lo", F.min(place).over(same)).where(place != F.col("lo"))
-    gone = on(losers.groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("gone")), "gone")
-    full = base.select(F.struct(*base.columns).alias("_row"), *key).join(gone, F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")), "left")
+    # a hash that many share is counted before the shuffle, and met by one row a hash in the join
+    shared = found.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("k1", "k2")
+    wanted = found.join(shared, ["k1", "k2"], "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e", "k1", "k2")).alias("c"))
+    same_doc = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th"))
+    texts = src.join(wanted.select(F.col("_id").alias("r_id"), F.col("_th").alias("r_th"), "c"), same_doc).select("_id", "_th", "_text", "c")
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            for i, text in enumerate(b.column(2).to_pylist()):
+                lines = text.encode().split(b"\n")
+                c = lists[i].values
+                own = [b"\n".join(lines[x:y]) for x, y in zip(c.field("s").to_pylist(), c.field("e").to_pylist())]
+                at = pa.array(np.full(len(own), i, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(c.field(x) for x in ("s", "e", "k1", "k2")), pa.array(own, pa.binary())], ["_id", "_th", "s", "e", "k1", "k2", "bytes"])
+
+    bytes_of = texts.mapInArrow(fetch, f"_id {kind}, _th bigint, s int, e int, k1 bigint, k2 bigint, bytes binary")
+    first = bytes_of.groupBy("k1", "k2", "bytes").agg(F.min(place).alias("lo"))
+    losers = bytes_of.join(first, ["k1", "k2", "bytes"]).where(place != F.col("lo")).groupBy(F.col("_id").alias("r_id"), F.col("_th").alias("r_th")).agg(F.collect_set(F.struct("s", "e")).alias("gone"))
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A byte for each line, 1 if it goes; lines behind the last that goes have none."""
+        for b in batches:
+            out, n = [], []
+            for c in b.column(2):
+                s, e = (c.values.field(x).to_numpy() for x in ("s", "e"))
+                step = np.zeros(int(e.max()) + 1, np.int8)
+                step[s] += 1
+                step[e] -= 1
+                out.append(np.cumsum(step[:-1], dtype=np.int8).tobytes())
+                n.append(int((e - s).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["r_id", "r_th", "mask", "n"])
+
+    gone = losers.mapInArrow(masks, f"r_id {kind}, r_th bigint, mask binary, n bigint")
+    full = base.select(F.struct(*base.columns).alias("_row"), *key).join(gone, same_doc, "left")
     own = F.col("_row")[text_col]
-    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists("gone", lambda g: (i >= g["s"]) & (i < g["e"]))), "\n")
-    removed = F.aggregate("gone", F.lit(0), lambda acc, g: acc + g["e"] - g["s"])
-    text = F.when(F.col("gone").isNull(), own).otherwise(kept)
-    return full.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in base.columns], F.coalesce(removed, F.lit(0)).cast("bigint").alias("n_removed"))
+    kept = F.array_join(F.filter(F.split(own, "\n", -1), lambda x, i: F.substring("mask", i + 1, 1) != F.lit(b"\1")), "\n")
+    text = F.when(F.col("mask").isNull(), own).otherwise(kept)
+    return full.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in base.columns], F.coalesce("n", F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
