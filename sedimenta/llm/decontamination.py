@@ -13,6 +13,8 @@ from ._text import NON_ALNUM, Words, slices, spans_hash
 
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is handled in several passes.
 BROADCAST_BYTES = 64 << 20
+#: Pairs of equal seeds that are held for two texts; where there are more, tiles are looked for in memory linear in the texts.
+SEED_PAIRS = 1 << 18
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -31,6 +33,8 @@ def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int,
     order = np.argsort(hashes[0], kind="stable")
     lo, hi = np.searchsorted(hashes[0][order], hashes[1], "left"), np.searchsorted(hashes[0][order], hashes[1], "right")
     n = hi - lo
+    if int(n.sum()) > SEED_PAIRS:
+        return _tiles_by_length(pattern, text, least)
     j = np.repeat(np.arange(len(n)), n)
     i = order[np.repeat(lo, n) + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)]
     free = [np.ones(len(pattern), bool), np.ones(len(text), bool)]
@@ -56,6 +60,53 @@ def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int,
     return out
 
 
+def _tiles_by_length(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """As tiles(), in memory linear in both texts, for those with repeats without end.
+
+    The longest match of unmarked tokens is found by bisection, since whatever has a match of some length has the shorter
+    ones too; each length takes one running hash over both sides. Of its matches, each place in the pattern takes the first
+    free one in the text.
+    """
+    out: list[tuple[int, int, int]] = []
+    free = [np.ones(len(pattern), bool), np.ones(len(text), bool)]
+    sides = (pattern, text)
+
+    def windows(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of n unmarked tokens, and their hashes."""
+        taken = np.concatenate([[0], np.cumsum(~free[side])])
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return at, spans_hash(sides[side], at, at + n)
+
+    def meets(n: int) -> bool:
+        return bool(np.isin(np.unique(windows(0, n)[1]), np.unique(windows(1, n)[1])).any())
+
+    longest = min(len(pattern), len(text))
+    while longest >= least and meets(least):
+        low, high = least, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if meets(middle) else (low, middle - 1)
+        longest = n = low
+        (at, own), (there, other) = windows(0, n), windows(1, n)
+        by = np.argsort(other, kind="stable")
+        there, other = there[by], other[by]
+        first, last = np.searchsorted(other, own, "left"), np.searchsorted(other, own, "right")
+        next_of: dict[int, int] = {}  # places only ever become marked, so none is looked at twice for one hash
+        for a, lo, hi in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist()):
+            if not free[0][a : a + n].all():
+                continue
+            k = next_of.get(lo, lo)
+            while k < hi and not free[1][there[k] : there[k] + n].all():
+                k += 1
+            next_of[lo] = k
+            if k < hi:
+                b = int(there[k])
+                free[0][a : a + n] = free[1][b : b + n] = False
+                out.append((a, b, n))
+        longest = n - 1
+    return out
+
+
 def find(docs: DataFrame, tests: DataFrame, least: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pairs of a document and a test item of which a share of coverage or more of the tokens lies in tiles.
 
@@ -65,8 +116,8 @@ def find(docs: DataFrame, tests: DataFrame, least: int = 5, coverage: float = 0.
 
     A null or empty text has no tokens and no match, and an item of fewer than least tokens matches nothing. Null ids are
     carried along. Rows that are repeated, on either side, give rows of their own; rows that share an id are not merged.
-    Ties between equally long matches go by place in the item, then in the document. If either table is empty, so is the
-    result; other columns are ignored.
+    Ties between equally long matches go by place in the item, then in the document. Memory is linear in the longest text,
+    whatever it repeats. If either table is empty, so is the result; other columns are ignored.
 
     The items are broadcast in parts of at most broadcast_bytes, with a pass over the documents for each part.
     """
@@ -95,10 +146,13 @@ def find(docs: DataFrame, tests: DataFrame, least: int = 5, coverage: float = 0.
                     tokens += [w.hash[w.offsets[k] : w.offsets[k + 1]] for k in range(hi - lo)]
                 s = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
                 o = np.concatenate(owner) if owner else np.empty(0, np.int64)
-                by = np.argsort(s, kind="stable")
+                by = np.lexsort((o, s))
+                s, o = s[by], o[by]
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])  # a seed that an item repeats counts once
                 bits = np.zeros(1 << 22, bool)
                 bits[s >> np.uint64(42)] = True
-                made.extend((ids, tokens, s[by], o[by], bits))
+                made.extend((ids, tokens, s[new], o[new], bits))
             return made
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +165,9 @@ def find(docs: DataFrame, tests: DataFrame, least: int = 5, coverage: float = 0.
                     at = np.flatnonzero(bits[grams >> np.uint64(42)] & good)
                     left = np.searchsorted(seeds, grams[at], "left")
                     n = np.searchsorted(seeds, grams[at], "right") - left
-                    at, left, n = at[n > 0], left[n > 0], n[n > 0]
+                    once = np.unique(w.doc[at] * len(seeds) + left, return_index=True)[1]  # as does one that a text repeats
+                    once = once[n[once] > 0]
+                    at, left, n = at[once], left[once], n[once]
                     item = owner[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                     pairs = np.unique(np.repeat(w.doc[at], n) * len(ids) + item)
                     for d, i in zip((pairs // len(ids)).tolist(), (pairs % len(ids)).tolist()):
