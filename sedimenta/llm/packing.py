@@ -53,10 +53,13 @@ def assign(tokens: np.ndarray, costs: np.ndarray, capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 6144, shard_sequences: int = 512, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """Assigns documents to sequences of at most capacity tokens, with costs linear * n + quadratic * n^2 kept even.
 
-    Documents are hashed by id into shards of about shard_sequences sequences, as many as the tokens need, and each shard
-    is packed by itself, so that no task's work grows with the corpus. A document longer than capacity is cut into pieces
+    Documents are hashed by id and place in the table into shards of about shard_sequences sequences, as many as the tokens
+    need, and each shard is packed by itself, so that no task's work grows with the corpus, whatever many rows share an id or
+    have none. sequence is the shard times 2^32, plus the sequence's number in it. A document longer than capacity is cut into pieces
     of capacity tokens and a rest. Returns id, piece, start_token, n_tokens, cost, sequence, a row a piece.
 
+    The tokenizer's file must lie at the same path on every executor (TOKENIZER_DIR names its folder).
+
     Null and empty texts have no tokens and no row. A null id is packed as any other; rows that repeat an id or a whole
     document are packed each by itself. Ties in length go by id, then by piece, null last. An empty table gives no rows;
     other columns are ignored.
@@ -74,7 +77,8 @@ def pack(docs: DataFrame, capacity: int = 4096, linear: float = 1.0, quadratic:
     counts = cut(src.mapInArrow(count, f"id {kind.simpleString()}, n bigint").where("n > 0"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // (capacity * shard_sequences)))
-    pieces = counts.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).select("id", "shard", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    shard = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards))  # stable, as it numbers checkpointed rows
+    pieces = counts.withColumn("shard", shard).select("id", "shard", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     pieces = pieces.select("id", "shard", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * F.lit(capacity)).cast("bigint").alias("n"))
 
     def one(t: pa.Table) -> pa.Table:
