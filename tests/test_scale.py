@@ -1,9 +1,15 @@
 """What queries give, and how they are planned, on tables other than those of the tests' data."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
+from sedimenta.operators import couples
 from sedimenta.plans import catalogue
+from sedimenta.sources import tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
@@ -18,3 +24,17 @@ def test_events_of_one_second_are_one(spark, tmp_path):
     sql = catalogue.SQL["stream_dedup"].replace("FROM events", f"FROM '{path}/*.parquet'")
     got = catalogue.QUERIES["stream_dedup"](spark, str(tmp_path)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(sql).fetchall()))
+
+
+def test_pairs_of_people_do_not_hang_on_the_order_of_rows(spark):
+    counts = spark.range(3000).select((F.col("id") % 61).alias("author"), (F.col("id") % 47).alias("path"), (F.col("id") % 5 + 1).alias("n")).groupBy("author", "path").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("author", F.when(F.col("author") > 0, F.col("author")))
+    want = counts.alias("a").join(counts.alias("b"), "path").groupBy(F.col("a.author").alias("author1"), F.col("b.author").alias("author2")).agg(F.sum(F.least("a.n", "b.n")).alias("n"))
+    for block in (512, 7):
+        assert sorted(map(str, couples.shared(counts.orderBy(F.rand(block)), block).collect())) == sorted(map(str, want.collect()))
+
+
+def test_pairs_are_not_summed_up_before_their_shuffle(spark):
+    plan = couples.files(tables.log(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(file1#\d+L?, file2#\d+L?", plan)) == 1
+    assert "partial_count" in plan.split("Exchange hashpartitioning(file1")[0] and "partial" not in plan.split("Exchange hashpartitioning(file1")[1]
