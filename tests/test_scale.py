@@ -38,3 +38,8 @@ def test_pairs_are_not_summed_up_before_their_shuffle(spark):
     plan = couples.files(tables.log(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(file1#\d+L?, file2#\d+L?", plan)) == 1
     assert "partial_count" in plan.split("Exchange hashpartitioning(file1")[0] and "partial" not in plan.split("Exchange hashpartitioning(file1")[1]
+
+
+def test_lines_go_to_their_commit_before_they_are_summed(spark):
+    plan = tables.log(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(commit#\d+L, path#\d+L|hashpartitioning\(l_orderkey#\d+L, l_partkey#\d+L", plan)
