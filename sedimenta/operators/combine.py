@@ -20,10 +20,11 @@ def header(results: DataFrame) -> DataFrame:
 
 def devs(results: DataFrame, starts: DataFrame) -> DataFrame:
     """Sums of (repo, tick, author, lang, ...) by tick, author and lang, once each repository's ticks are moved by what it
-    begins later than the first; starts (repo, start) counts ticks."""
+    begins later than the first; starts (repo, start) counts ticks. Starts are a name and a number a repository, and broadcast: a
+    shuffle by repository would be as many tasks as there are repositories."""
     first = starts.agg(F.min("start").alias("_first"))  # one row
     shift = starts.crossJoin(F.broadcast(first)).select("repo", (F.col("start") - F.col("_first")).alias("_by"))
-    moved = results.join(shift, "repo").withColumn("tick", F.col("tick") + F.col("_by"))
+    moved = results.join(F.broadcast(shift), "repo").withColumn("tick", F.col("tick") + F.col("_by"))
     return moved.groupBy("tick", "author", "lang").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("commits", "added", "removed", "changed")])
 
 

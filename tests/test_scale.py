@@ -26,6 +26,20 @@ def test_events_of_one_second_are_one(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, duckdb.sql(sql).fetchall()))
 
 
+def planned(spark, name):
+    """The plan of a query whose tables are all too large to be broadcast, unless it asks for that."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nothing_is_joined_by_shuffling_to_repositories(spark):
+    assert not re.search(r"SortMergeJoin \[repo#", planned(spark, "combine_devs"))
+
+
 def test_pairs_of_people_do_not_hang_on_the_order_of_rows(spark):
     counts = spark.range(3000).select((F.col("id") % 61).alias("author"), (F.col("id") % 47).alias("path"), (F.col("id") % 5 + 1).alias("n")).groupBy("author", "path").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("author", F.when(F.col("author") > 0, F.col("author")))
