@@ -1,11 +1,14 @@
 """What queries give, and how they are planned, on tables other than those of the tests' data."""
 
+import random
 import re
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
-from sedimenta.operators import couples
+from sedimenta.functions import diff
+from sedimenta.operators import couples, renames
 from sedimenta.plans import catalogue
 from sedimenta.sources import tables
 
@@ -57,3 +60,29 @@ def test_pairs_are_not_summed_up_before_their_shuffle(spark):
 def test_lines_go_to_their_commit_before_they_are_summed(spark):
     plan = tables.log(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(commit#\d+L, path#\d+L|hashpartitioning\(l_orderkey#\d+L, l_partkey#\d+L", plan)
+
+
+def test_what_texts_share_is_what_their_script_keeps():
+    rng = random.Random(8)
+    for k in range(400):
+        a, b = ("".join(rng.choice("abcdé"[: rng.randint(1, 5)]) for _ in range(rng.randrange(40))) for _ in "ab")
+        b = rng.choice([b, a, a[:7] + b + a[7:], a[3:] + b])
+        for limit in (1, 3, diff.LIMIT):
+            assert diff.kept(a, b, limit) == sum(n for op, n in diff.edits(list(a), list(b), limit) if op == "=")
+
+
+def test_unlike_texts_are_compared_fast():
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(1000)) for _ in "ab")
+    began = time.process_time()
+    found = {diff.similarity(a + chr(97 + k % 20), b) for k in range(20)}
+    assert time.process_time() - began < 1 and all(40 < x < 45 for x in found)
+
+
+def test_texts_of_one_commit_are_compared_by_many_tasks(spark):
+    """Similarity is found before candidates are brought together by commit, and pairs are made without texts."""
+    own = spark.createDataFrame([(1, "a/x", "D", "text of a file " * 9), (1, "b/x", "I", "text of a file " * 8 + "and an end")], "commit int, path string, action string, text string")
+    found = renames.detect(own)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and not re.search(r"Window .*text|FlatMapGroupsInPandas.*_text", plan)
+    assert rows(found) == [(1, "a/x", "b/x")]
