@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sedimenta.functions import diff
-from sedimenta.operators import couples, renames
+from sedimenta.operators import couples, graphs, renames
 from sedimenta.plans import catalogue
 from sedimenta.sources import tables
 
@@ -86,3 +86,21 @@ def test_texts_of_one_commit_are_compared_by_many_tasks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInPandas" in plan and not re.search(r"Window .*text|FlatMapGroupsInPandas.*_text", plan)
     assert rows(found) == [(1, "a/x", "b/x")]
+
+
+def test_generations_are_a_few_jobs_each(spark):
+    edges = spark.range(1, 3000).select(F.col("id").alias("commit"), F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent")).where("parent > 0")
+    heads = spark.createDataFrame([(2999,), (7,)], "commit bigint")
+    want, left = {2999, 7}, [2999, 7]
+    while left:
+        k = left.pop()
+        new = {k // 2, k // 3} - want - {0}
+        want |= new
+        left += new
+    spark.sparkContext.setJobGroup("generations", "")
+    try:
+        assert {r[0] for r in graphs.ancestors(edges, heads).collect()} == want
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("generations")) < 120  # 11 generations
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(edges.where("parent is not null").select("commit", "parent").distinct()._jdf).isDefined()
