@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graphs import cut
+
 
 def deltas(lives: DataFrame) -> DataFrame:
     """(path, author, actor, cur_tick, prev_tick, delta): lines written at prev_tick come or go at cur_tick."""
@@ -34,12 +36,29 @@ def dense(cells: DataFrame) -> DataFrame:
     return grid.join(cells, ["sample", "band"], "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("bigint")))
 
 
-def overwrites(changes: DataFrame) -> DataFrame:
-    """(author, kind, other, lines): own lines written (self), removed by nobody known (unknown) and by each author (by)."""
-    own = (F.col("delta") > 0) & F.col("author").eqNullSafe(F.col("actor"))
-    kind = F.when(own, "self").when(F.col("actor").isNull(), "unknown").otherwise("by")
+def _own() -> Column:
+    return (F.col("delta") > 0) & F.col("author").eqNullSafe(F.col("actor"))
+
+
+def overwrites(changes: DataFrame, pieces: int | None = None) -> DataFrame:
+    """(author, kind, other, lines): own lines written (self), removed by nobody known (unknown) and by each author (by).
+
+    Pairs of authors are next to as many as the changes, so that these are dealt over so many pieces, where they are given."""
+    kind = F.when(_own(), "self").when(F.col("actor").isNull(), "unknown").otherwise("by")
     other = F.when(kind == "by", F.col("actor"))
-    return changes.where("author is not null").groupBy("author", kind.alias("kind"), other.alias("other")).agg(F.sum("delta").cast("bigint").alias("lines"))
+    rows = changes.where("author is not null").select("author", kind.alias("kind"), other.alias("other"), "delta")
+    rows = rows.repartition(pieces, "author", "other") if pieces else rows
+    return rows.groupBy("author", "kind", "other").agg(F.sum("delta").cast("bigint").alias("lines"))
+
+
+def overwrites_of_best(changes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of overwrites whose author is one of the k with most own lines, and these authors; equals go by author.
+
+    Own lines are a row an author; the pairs of authors, which are next to as many as the changes, are made for the best alone.
+    """
+    own = changes.where("author is not null").where(_own()).groupBy("author").agg(F.sum("delta").cast("bigint").alias("lines"))
+    best = cut(own.orderBy(F.desc("lines"), "author").limit(k).select("author"))
+    return overwrites(changes.join(F.broadcast(best), "author", "left_semi")), best  # k rows
 
 
 def normalised(matrix: DataFrame) -> DataFrame:

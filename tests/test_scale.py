@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sedimenta.functions import diff
-from sedimenta.operators import couples, graphs, renames
+from sedimenta.operators import burndown, couples, graphs, renames
 from sedimenta.plans import catalogue
 from sedimenta.sources import tables
 
@@ -104,3 +104,30 @@ def test_generations_are_a_few_jobs_each(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(edges.where("parent is not null").select("commit", "parent").distinct()._jdf).isDefined()
+
+
+def test_pairs_of_authors_are_made_for_the_best_alone(spark):
+    """In no plan are lines summed by pairs of authors before all but the best authors have gone."""
+    for name in ("overwrites_topk_norm", "overwrites_topk_square"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan.split("Aggregate [author")[-1], name
+
+
+def test_lines_meet_their_commits_in_partitions_of_their_count(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LINES", 300)
+    assert "REPARTITION_BY_NUM" in planned(spark, "overwrites_matrix")
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert tables.lives(spark, SF).rdd.getNumPartitions() == -(-n // 300)
+
+
+def test_overwrites_of_best_authors_are_those_of_all(spark):
+    rng = random.Random(15)
+    own = [(rng.choice([None, *range(9)]), rng.choice([None, *range(9)]), rng.randrange(-3, 4)) for _ in range(400)] + [(20, 21, -5)]
+    changes = spark.createDataFrame(own, "author int, actor int, delta bigint")
+    matrix = burndown.overwrites(changes, 5).collect()
+    assert sorted(map(str, matrix)) == sorted(map(str, burndown.overwrites(changes).collect()))
+    for k in (3, 50):
+        best = [a for _, a in sorted((-r.lines, r.author) for r in matrix if r.kind == "self")][:k]
+        got, names = burndown.overwrites_of_best(changes, k)
+        assert sorted(r[0] for r in names.collect()) == sorted(best)
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in matrix if r.author in best)
