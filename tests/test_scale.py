@@ -1,5 +1,6 @@
 """What queries give, and how they are planned, on tables other than those of the tests' data."""
 
+import hashlib
 import random
 import re
 import time
@@ -8,7 +9,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from sedimenta.functions import diff
-from sedimenta.operators import burndown, couples, graphs, renames
+from sedimenta.operators import burndown, couples, graphs, identity, renames
 from sedimenta.plans import catalogue
 from sedimenta.sources import tables
 
@@ -131,3 +132,21 @@ def test_overwrites_of_best_authors_are_those_of_all(spark):
         got, names = burndown.overwrites_of_best(changes, k)
         assert sorted(r[0] for r in names.collect()) == sorted(best)
         assert sorted(map(str, got.collect())) == sorted(str(r) for r in matrix if r.author in best)
+
+
+def test_labels_are_written_out_by_tasks_of_their_size(spark):
+    """Two people of 3000 names have rows of 250 MB, which no few tasks should make, and no task those of both."""
+    own = spark.range(6000).select(F.format_string("Name-%09d", "id").alias("name"), F.concat((F.col("id") % 2).cast("string"), F.lit("@x")).alias("email"))
+    own = own.union(spark.createDataFrame([("Ann", "a@x"), ("Ann", "b@x"), ("Bob", "b@x"), ("7@x", "7@x"), ("", "e@x"), (None, "f@x")], "name string, email string"))
+    want = {"a@x": "ann|bob|a@x|b@x", "b@x": "ann|bob|a@x|b@x", "ann": "ann|bob|a@x|b@x", "bob": "ann|bob|a@x|b@x", "7@x": "7@x|7@x", "": "|e@x", "e@x": "|e@x"}
+    for k in (0, 1):
+        keys = [f"name-{i:09d}" for i in range(k, 6000, 2)] + [f"{k}@x"]
+        want |= dict.fromkeys(keys, "|".join(keys))
+    got = identity.people(own).select("key", F.md5("label").alias("label"), F.spark_partition_id().alias("task")).collect()
+    digest = {x: hashlib.md5(x.encode()).hexdigest() for x in set(want.values())}
+    assert sorted((r.key, r.label) for r in got) == sorted([*((k, digest[x]) for k, x in want.items()), ("7@x", digest["7@x|7@x"])])
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.task, []).append(r.label)
+    large = [x for x in tasks.values() if len(x) > 9]
+    assert len(large) >= 4 and max(map(len, large)) <= 1501 and all(len(set(x)) == 1 for x in large)
